@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, resharding
+from . import exact_dedup, language, mixing, packing, repetition, resharding
 
 QUERIES = {
+    "op1_repetition": repetition.op1,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_packing": packing.op4,
     "op6_resharding": resharding.op6,
     "op8_mixing": mixing.op8,
+    "op9_language": language.op9,
 }
 
 ORACLE_SQL = {
