@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, packing, repetition, resharding
+from . import exact_dedup, language, minhash, mixing, packing, repetition, resharding
 
 QUERIES = {
     "op1_repetition": repetition.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_resharding": resharding.op6,
     "op8_mixing": mixing.op8,
     "op9_language": language.op9,
+    "op10_minhash": minhash.op10,
 }
 
 ORACLE_SQL = {
