@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,19 @@ from pyspark.sql import functions as F
 from .common import Batch, cut, ranges, slices
 
 #: Distinct words whose ids a Python worker keeps; further ones are encoded for each chunk anew.
-CACHED_WORDS = 400_000
-#: Bytes of text tokenized at once.
-CHUNK = 16 << 20
+CACHED_WORDS = 600_000
+#: Bytes of text tokenized at once, and words encoded at once.
+CHUNK, WORDS = 8 << 20, 20_000
+
+
+def byte_signs() -> dict[int, int]:
+    """The signs that byte-level tokenizers write for bytes: visible Latin-1 ones as they are, the rest from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 0x100 + k for k, b in enumerate(rest)}
+
+
+SIGNS = byte_signs()
 
 
 class Tokens:
@@ -26,7 +38,8 @@ class Tokens:
     The words of a chunk are told apart exactly and each is encoded once. Where no special
     token can occur, A-Z is lower-cased first, as the tokenizer does, and a full stop or
     comma after an ASCII letter or digit at a word's end is a word by itself, as the
-    tokenizer splits it off.
+    tokenizer splits it off. A word of Latin letters only goes to the tokenizer's model
+    directly: it is one piece to the splitter, and normal form C already.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,16 +53,33 @@ class Tokens:
         self.count = np.zeros(CACHED_WORDS, np.int64)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [x.ids for x in made]
+        out: list[list[int] | None] = []
+        others, model = [], self.tokenizer.model
+        for k, word in enumerate(words):
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                signs = text.lower()
+                if not signs.isascii():
+                    signs = signs.encode().decode("latin-1").translate(SIGNS)
+                out.append([t.id for t in model.tokenize(signs)])
+            else:
+                others.append((k, text))
+                out.append(None)
+        made = self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
+        for (k, _), x in zip(others, made):
+            out[k] = x.ids
+        return out
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and first place and count for each word."""
         place = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
         lost = np.flatnonzero(place < 0)
-        new = self.encode([words[i] for i in lost])
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        ids = np.fromiter((i for x in new for i in x), np.uint32, int(size.sum()))
+        size, parts = np.zeros(len(lost), np.int64), [np.zeros(0, np.uint32)]
+        for a in range(0, len(lost), WORDS):
+            new = self.encode([words[i] for i in lost[a : a + WORDS]])
+            size[a : a + WORDS] = [len(x) for x in new]
+            parts.append(np.fromiter(chain.from_iterable(new), np.uint32))
+        ids = np.concatenate(parts)
         starts = np.cumsum(size) - size
         room = min(CACHED_WORDS - len(self.known), len(lost))
         if room:
@@ -93,6 +123,12 @@ class Tokens:
         return out, begin + np.arange(batch.n + 1)
 
 
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process, so the words of one task serve the next."""
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Token pieces of every text: (id_col, piece, start, length, ids_crc32, part, rank[, ids]).
 
@@ -103,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part = tokens_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
