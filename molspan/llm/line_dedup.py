@@ -69,7 +69,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Scale: digests of chunks are counted with map-side sums. Only chunks whose digest occurs
     again are moved, through combine(), which compares their bytes in every stage. A
     digest with several contents is left alone. Lists of places are joined to the texts
-    by id, or broadcast if they are few.
+    by id, which moves each text once.
     """
     shape = {"least": least, "window": window, "mean": mean}
     kind = dict(docs.dtypes)[id_col]
@@ -107,7 +107,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed_lines")]
     here = docs.select(*columns, F.xxhash64(text_col).alias("__own"))
-    joined = here.join(small(gone, gone.count(), 20_000), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*columns, "__gone")
+    joined = here.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*columns, "__gone")
     out_schema = ", ".join(f"`{n}` {t}" for n, t in joined.drop("__gone").dtypes) + ", n_lines int, n_removed_lines int" * counts
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
