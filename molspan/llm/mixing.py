@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words, small
 
-#: Rows of one source in a bucket of its seeded order, about.
-BUCKET_ROWS = 20_000
+#: Rows of one source in a bucket of its seeded order, at most about.
+BUCKET_ROWS = 1_000
+#: Hexadecimal digits of a bucket's name that one window runs over (4096 buckets).
+DIGITS = 3
 
 
 def source_key(source: Column) -> Column:
@@ -51,6 +53,23 @@ def seeded_order(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{int(seed)}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def bucket_starts(sums: DataFrame, digits: int) -> DataFrame:
+    """(skey, bucket, bucket_start): what the source's buckets before it sum to.
+
+    Running sums within DIGITS digits, plus those of the longer runs that the leading
+    digits name; so no window has more than 16 ** DIGITS rows, however hot a source is.
+    """
+    lead = F.substring("bucket", 1, max(0, digits - DIGITS))
+    here = sums.withColumn("lead", lead)
+    earlier = Window.partitionBy("skey", "lead").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    here = here.withColumn("start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    if digits <= DIGITS:
+        return here.select("skey", "bucket", F.col("start").alias("bucket_start"))
+    upper = here.groupBy("skey", F.col("lead").alias("bucket")).agg(F.sum("bucket_size").alias("bucket_size"))
+    upper = bucket_starts(upper, digits - DIGITS).select("skey", F.col("bucket").alias("lead"), F.col("bucket_start").alias("before"))
+    return here.join(upper, ["skey", "lead"]).select("skey", "bucket", (F.col("before") + F.col("start")).alias("bucket_start"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", weights: DataFrame | None = None, cycle: tuple[int, ...] = (1, 2, 3), budget: int | None = None, max_epochs: int = 3, seed: int = 8) -> DataFrame:
     """How often each row is taken so that each source's size comes near its target.
 
@@ -93,8 +112,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     digits = max(1, math.ceil(math.log(max(1, n_rows / BUCKET_ROWS), 16)))
     rows = rows.withColumn("bucket", F.substring("order", 1, digits))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
+    starts = bucket_starts(sums, digits)
     inside = Window.partitionBy("skey", "bucket").orderBy("order", "__id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("run", F.sum("size").over(inside)).join(starts, ["skey", "bucket"])
     placed = placed.join(small(targets, n_sources), "skey").withColumn("end", F.col("bucket_start") + F.col("run"))
