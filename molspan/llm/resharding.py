@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 #: Rows of a block, about. A block is what moves from one shard to another.
-BLOCK_ROWS = 5_000
+BLOCK_ROWS = 1_000
 
 
 class Flow:
@@ -105,7 +105,7 @@ def reshard(rows: DataFrame, *, shards: int, capacity: list[int] | None = None,
     """
     rows = rows.drop("block", "shard", "slot").withColumn("old_shard", F.coalesce("old_shard", F.lit(-1)).cast("int"))
     old = {r[0]: (r[1], r[2]) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count(F.lit(1))).collect()}
-    total, count = sum(x for x, _ in old.values()), sum(n for _, n in old.values())
+    total = sum(x for x, _ in old.values())
     capacity = capacity or even_capacity(total, shards)
     plan = transfers({k: v for k, (v, _) in old.items()}, capacity)
     lines, at = [], {}
@@ -114,8 +114,8 @@ def reshard(rows: DataFrame, *, shards: int, capacity: list[int] | None = None,
         at[name] = at.get(name, 0) + moved
 
     spark = rows.sparkSession
-    buckets = max(4, -(-count // block_rows))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    per_shard = F.create_map(*[F.lit(x) for k, (_, n) in old.items() for x in (k, max(4, -(-n // block_rows)))]) if old else F.create_map(F.lit(0), F.lit(1))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), per_shard[F.col("old_shard")]).cast("int"))
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     end = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("hi", F.sum("bytes").over(end)).withColumn("lo", F.col("hi") - F.col("bytes"))
