@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batch, cut, ranges, slices
+from .common import Batch, cut, ranges, slices, tidy
 
 #: Distinct words whose ids a Python worker keeps; further ones are encoded for each chunk anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 #: Bytes of text tokenized at once, and words encoded at once.
 CHUNK, WORDS = 8 << 20, 20_000
 
@@ -169,7 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -269,7 +269,7 @@ def pack(cut_pieces: DataFrame, *, limit: int = 4096) -> DataFrame:
             made = [pa.array(base[k] + nth // copies[k]), pa.array(offsets[k] + nth % copies[k] * length)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *made], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, schema)
+    return numbered.mapInArrow(tidy(place), schema)
 
 
 def tokenize_and_pack(docs: DataFrame, tokenizer: str | None = None, *, limit: int = 4096, **options) -> DataFrame:

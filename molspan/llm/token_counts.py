@@ -9,15 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Batch, slices
+from .common import Batch, slices, tidy
 
 #: The mark that unigram vocabularies put before a word.
 META = "▁"
 #: What an unknown character costs more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose counts a Python worker keeps.
-CACHED_WORDS = 400_000
-CHUNK = 16 << 20
+CACHED_WORDS = 250_000
+CHUNK = 8 << 20
 
 
 @dataclass
@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.texts(texts[a:b]))], names=[*kept, into])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{into}` long")
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{into}` long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
