@@ -10,9 +10,17 @@ from molspan.session import cut
 from .graph import components
 
 
+#: Members of a bucket that the others are compared with.
+PIVOTS = 6
+
+
 def signature_bands(items: Column, bands: int, rows: int) -> Column:
     """Keys of bands over seeded minima of an array of longs."""
-    minimum = [F.array_min(F.transform(items, lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(bands * rows)]
+
+    def seeded(i: int):  # a lambda of two arguments would get the place in the array
+        return lambda x: F.xxhash64(x, F.lit(i))
+
+    minimum = [F.array_min(F.transform(items, seeded(i))) for i in range(bands * rows)]
     return F.array(*[F.xxhash64(F.lit(b), *minimum[b * rows : (b + 1) * rows]) for b in range(bands)])
 
 
@@ -20,7 +28,7 @@ def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int
     """(id, cluster, size) of rows (id, group, items array<long>) with at least ``least`` items.
 
     Rows with the same set are one row to the comparison. Members of a bucket are compared
-    in full with its first; links that hold are closed transitively. cluster is the
+    in full with its pivots (the first, the last and some by hash), not with each other; links that hold are closed transitively. cluster is the
     smallest id, size the number of rows in it.
     """
     rows_in = cut(sets.where(F.size("items") >= least).select("id", group, F.sort_array(F.array_distinct("items")).alias("items")))
@@ -29,8 +37,9 @@ def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int
     keyed = cut(keyed.join(first.withColumnRenamed(group, "__g"), (F.col(group).eqNullSafe(F.col("__g"))) & (keyed["same"] == first["same"])).select("id", group, "items", "first"))
     alone = keyed.where("id = first").select("id", group, "items")
     keys = alone.select("id", F.explode(signature_bands(F.col("items"), bands, rows)).alias("__b"), group).select("id", F.xxhash64("__b", group).alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+    several = [F.min("id"), F.max("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS - 2)]]
+    pivots = keys.groupBy("key").agg(F.array(*several).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = keys.join(pivots, "key").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot").distinct()
     both = pairs.join(alone.select("id", "items"), "id").join(alone.select(F.col("id").alias("pivot"), F.col("items").alias("others")), "pivot")
     shared = F.size(F.array_intersect("items", "others"))
     links = both.where(shared >= threshold * (F.size("items") + F.size("others") - shared)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))

@@ -483,9 +483,9 @@ def ag15(spark, sf_dir):
 CLUSTERS = r"""
 WITH RECURSIVE w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, lang, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-n AS (SELECT doc_id, lang, count(*) AS n FROM sh GROUP BY 1, 2 HAVING count(*) >= 10),
+n AS MATERIALIZED (SELECT doc_id, lang, count(*) AS n FROM sh GROUP BY 1, 2 HAVING count(*) >= 10),
 k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.lang = b.lang AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS id, doc_id AS o FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.o),
 g AS (SELECT id, min(o) AS cluster FROM r GROUP BY id)
 SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM g
@@ -495,8 +495,10 @@ SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM g
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", words.alias("w"))
-    at = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2)).otherwise(F.array().cast("array<int>"))
-    return docs.select("id", "lang", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))).alias("items"))
+    # the shifted copies stand outside the lambda, so the split isn't worked out again for each word
+    shifted = [F.slice("w", k, 1 << 30).alias(n) for k, n in ((2, "b"), (3, "c"))]
+    threes = F.filter(F.arrays_zip(F.col("w").alias("a"), *shifted), lambda x: x["c"].isNotNull())
+    return docs.select("id", "lang", F.array_distinct(F.transform(threes, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))).alias("items"))
 
 
 @query("q_ag12_minhash_clusters", CLUSTERS)
