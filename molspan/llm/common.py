@@ -21,7 +21,9 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast, at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python function works on at once (a longer text by itself).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows in an Arrow batch, at most: texts are long, and a batch is held whole in the JVM and in Python.
+BATCH_ROWS = 2_000
 
 
 def small(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,8 +58,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, with give_back() after each batch."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of BATCH_ROWS rows (a session setting) and give_back() after each."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(setting))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[pa.RecordBatch]:
@@ -68,7 +74,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
         yield from run(each())
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 class Batch:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES, tidy
+from .common import SPACES, map_batches
 
 # Element names of HTML, by what they are to a reader.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,7 +236,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, text_col, "n_chars"])
 
     rows = pages.select(*kept, html_col)
-    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in rows.drop(html_col).dtypes) + f", `{text_col}` string, n_chars long")
+    return map_batches(rows, run, ", ".join(f"`{n}` {t}" for n, t in rows.drop(html_col).dtypes) + f", `{text_col}` string, n_chars long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batch, ranges, slices, tidy
+from .common import Batch, map_batches, ranges, slices
 
 #: Bytes of context, at most.
 ORDER = 4
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, models: dict[str, Model], *, text_col: str = "text"
         return [pa.array(lang, pa.string()), pa.array(np.where(letters & bool(names), share, 0.0))]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{prefix}lang_pred` string, `{prefix}score` double"
-    return docs.mapInArrow(tidy(run), schema)
+    return map_batches(docs, run, schema)
 
 
 def fold(doc_id: Column) -> Column:

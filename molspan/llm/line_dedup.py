@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, tidy
+from .common import cut, map_batches, slices, small
 from .exact_dedup import combine
 
 #: Lines that the rolling hash spans.
@@ -91,13 +91,13 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return run
 
     schema = f"id {kind}, mark long, line int, lines int, digest binary"
-    found = cut(rows.mapInArrow(tidy(scan(False)), schema))
+    found = cut(map_batches(rows, scan(False), schema))
     again = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     n_again = again.count()
     places = cut(found.join(small(again, n_again), "digest", "left_semi"))
     holders = cut(places.select("id", "mark").distinct())
     whole = rows.join(small(holders, holders.count()), rows["id"].eqNullSafe(holders["id"]) & (rows["mark"] == holders["mark"]), "left_semi")
-    texts = whole.mapInArrow(tidy(scan(True)), schema + ", content binary").join(small(again, n_again), "digest", "left_semi")
+    texts = map_batches(whole, scan(True), schema + ", content binary").join(small(again, n_again), "digest", "left_semi")
     place = F.struct(F.col("id").isNull().alias("late"), "id", "mark", "line")
     groups = combine(texts.select("digest", "content", place.alias("id")), ["digest"], "content")
     alike = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("first"), F.max("group_size").alias("size")).where("contents = 1 AND size > 1")
@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             more = [pa.array(total, pa.int32()), pa.array(lost, pa.int32())] if counts else []
             yield pa.RecordBatch.from_arrays([*made, *more], names=[*columns, *(["n_lines", "n_removed_lines"] if counts else [])])
 
-    return joined.mapInArrow(tidy(rewrite), out_schema)
+    return map_batches(joined, rewrite, out_schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from molspan.operators.graph import components
 
-from .common import Batch, cut, ranges, slices, small, tidy
+from .common import Batch, cut, map_batches, ranges, slices, small
 
 #: Bands of a signature.
 BANDS = 32
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, thres
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n_shingles", "digest", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col)
-    return rows.mapInArrow(tidy(run), f"id {dict(rows.dtypes)['id']}, n_shingles long, digest binary, bands array<long>")
+    return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["id", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(wanted, wanted.count()), "id", "left_semi")
-    return rows.mapInArrow(tidy(run), f"id {dict(rows.dtypes)['id']}, shingles array<long>")
+    return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, shingles array<long>")
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:

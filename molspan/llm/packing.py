@@ -10,16 +10,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batch, cut, ranges, slices, tidy
+from .common import Batch, cut, give_back, map_batches, ranges, slices
 
 #: Distinct words whose ids a Python worker keeps; further ones are encoded for each chunk anew.
 CACHED_WORDS = 250_000
 #: Bytes of text tokenized at once, and words encoded at once.
-CHUNK, WORDS = 8 << 20, 20_000
+CHUNK, WORDS = 2 << 20, 20_000
 
 
 def byte_signs() -> dict[int, int]:
@@ -46,6 +47,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        give_back()
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -100,9 +102,8 @@ class Tokens:
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end_id after each, and where each text begins (and the last ends)."""
-        plain = Batch(texts)
-        safe = b"<|" not in plain.data.tobytes()
-        batch = Batch(texts, lower=True) if safe else plain
+        safe = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        batch = Batch(texts, lower=safe)
         length, words_of = batch.length, np.diff(batch.first)
         if safe and len(length):
             last, before = batch.data[batch.stop - 1], batch.data[np.maximum(batch.stop - 2, 0)]
@@ -169,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -269,7 +270,7 @@ def pack(cut_pieces: DataFrame, *, limit: int = 4096) -> DataFrame:
             made = [pa.array(base[k] + nth // copies[k]), pa.array(offsets[k] + nth % copies[k] * length)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *made], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(tidy(place), schema)
+    return map_batches(numbered, place, schema)
 
 
 def tokenize_and_pack(docs: DataFrame, tokenizer: str | None = None, *, limit: int = 4096, **options) -> DataFrame:

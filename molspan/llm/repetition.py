@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Batch, SPACES, slices, tidy
+from .common import SPACES, Batch, map_batches, slices
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -164,7 +164,7 @@ def repetition(docs: DataFrame, *, text_col: str = "text", prefix: str = "", fil
 
     kinds = {pa.int64(): "long", pa.bool_(): "boolean"}
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ([] if filtered else [f"`{n}` {kinds[t]}" for n, (_, t) in zip(names, FIELDS)]))
-    return docs.mapInArrow(tidy(run), schema)
+    return map_batches(docs, run, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

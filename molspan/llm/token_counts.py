@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Batch, slices, tidy
+from .common import Batch, map_batches, slices
 
 #: The mark that unigram vocabularies put before a word.
 META = "▁"
@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.texts(texts[a:b]))], names=[*kept, into])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{into}` long")
+    return map_batches(rows, run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{into}` long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
