@@ -196,7 +196,8 @@ def cross_links(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, bloc
     bins = pairs.withColumn("bin", F.greatest(F.lit(0), F.ceil(F.col("distance") / limit - 1e-9) - 1).cast("int"))
     counted = bins.groupBy("pivot", "bin").agg(F.count(F.lit(1)).alias("n"))
     told = counted.groupBy("pivot").agg(F.sum("n").alias("members"), F.max("bin").alias("last"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("n") / block).cast("int")))).alias("blocks"))
-    told = told.where("members > 1 AND last > 0")
+    told = cut(told.where("members > 1 AND last > 0"))
+    told = small(told, told.count())
     placed = bins.join(told, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("bin")]).cast("int"))
     # the blocks that this one meets: in its own bin, the one before and the one after
     meets = F.flatten(F.transform(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1), lambda b: F.when(F.coalesce(F.col("blocks")[b], F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("blocks")[b] - 1), lambda s: F.struct(b.alias("bin"), s.alias("salt")))).otherwise(F.array().cast("array<struct<bin:int,salt:int>>"))))
