@@ -92,11 +92,11 @@ def forward_backward(codes: np.ndarray, length: np.ndarray, model: Model) -> tup
 def run_chain(reads: DataFrame, model: Model, *, want: str, id_col: str = "read_id", codes_col: str = "codes") -> DataFrame:
     """Applies the model to rows (id, codes array<int>), a batch of sequences at a time.
 
-    want: "states" (array<tinyint>), "posterior" (array<double>, of state 1), "score"
-    (double), or "statistics": (g0, g1, x00, x01, x10, x11, score) summed over a batch.
+    want: "states" (array<tinyint>), "posterior" (array<double>, of state 1), "confidence"
+    (states, and the posterior of each: array<double>), "score" (double), or "statistics": (g0, g1, x00, x01, x10, x11, score) summed over a batch.
     """
     kind = dict(reads.dtypes)[id_col]
-    made = {"states": f"`{id_col}` {kind}, states array<tinyint>", "posterior": f"`{id_col}` {kind}, posterior array<double>", "score": f"`{id_col}` {kind}, score double", "statistics": "g0 double, g1 double, x00 double, x01 double, x10 double, x11 double, score double"}[want]
+    made = {"states": f"`{id_col}` {kind}, states array<tinyint>", "posterior": f"`{id_col}` {kind}, posterior array<double>", "confidence": f"`{id_col}` {kind}, states array<tinyint>, confidence array<double>", "score": f"`{id_col}` {kind}, score double", "statistics": "g0 double, g1 double, x00 double, x01 double, x10 double, x11 double, score double"}[want]
 
     def lists(values: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
         mask = np.arange(len(values))[:, None] < length
@@ -112,9 +112,14 @@ def run_chain(reads: DataFrame, model: Model, *, want: str, id_col: str = "read_
                 alpha, beta, total, emit = forward_backward(codes, length, model)
                 if want == "score":
                     out = [batch.column(0), pa.array(total)]
-                elif want == "posterior":
+                elif want in ("posterior", "confidence"):
                     odds = alpha[:, 0] + beta[:, 0] - alpha[:, 1] - beta[:, 1]
-                    out = [batch.column(0), lists(1 / (1 + np.exp(np.clip(odds, -700, 700))), length, pa.float64())]
+                    p = 1 / (1 + np.exp(np.clip(odds, -700, 700)))
+                    if want == "posterior":
+                        out = [batch.column(0), lists(p, length, pa.float64())]
+                    else:
+                        states = decode(codes, length, model)
+                        out = [batch.column(0), lists(states, length, pa.int8()), lists(np.where(states == 1, p, 1 - p), length, pa.float64())]
                 else:
                     _, a, _ = model.logs()
                     some = length > 0
@@ -122,7 +127,7 @@ def run_chain(reads: DataFrame, model: Model, *, want: str, id_col: str = "read_
                     inside = np.arange(1, len(codes))[:, None] < length
                     moves = [float((np.exp(alpha[:-1, i] + a[i, j] + emit[1:, j] + beta[1:, j] - total) * inside).sum()) if len(codes) > 1 else 0.0 for i in (0, 1) for j in (0, 1)]
                     out = [pa.array([float(x)]) for x in (*gamma, *moves, total.sum())]
-            yield pa.RecordBatch.from_arrays(out, names=[x.strip().split()[0].strip("`") for x in made.split(",")])
+            yield pa.RecordBatch.from_arrays(out, names=[x.strip().split()[0].strip("`") for x in made.split(", ")])
 
     return reads.select(id_col, codes_col).mapInArrow(run, made)
 

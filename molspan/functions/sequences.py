@@ -59,6 +59,11 @@ def unit_byte(x: Column) -> Column:
     return F.least(F.greatest(x * 255, F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
+def bytes_text(values: Column) -> Column:
+    """An array of numbers 0 to 255 as bytes in base 64, on one line."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x), 2, "0")), ""))), "\r\n", "")
+
+
 def flip(start: Column, n: Column, length: Column) -> Column:
     """Start of an interval seen from the other strand; its own inverse."""
     return length - (start + n)

@@ -6,17 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def context_counts(seqs: DataFrame, *, k: int, centre: str = "A", marked: Column) -> DataFrame:
-    """(context, hit, nohit) over rows (…, seq): every ``centre`` base with k bases on both sides.
-
-    marked: a boolean Column of ``pos`` (0-based) and the columns of seqs. Counting starts in
-    the map tasks, so only one row a context and task is moved.
-    """
+def centres(seqs: DataFrame, *, k: int, centre: str = "A") -> DataFrame:
+    """Adds (pos, context) for every ``centre`` base of seq with k known bases on both sides."""
     at = F.sequence(F.lit(k), F.length("seq") - 1 - k)
     inside = F.when(F.length("seq") > 2 * k, F.filter(at, lambda i: F.substring(F.col("seq"), i + 1, F.lit(1)) == centre)).otherwise(F.array().cast("array<int>"))
     rows = seqs.withColumn("pos", F.explode(inside))
-    rows = rows.select(F.substring(F.col("seq"), F.col("pos") - k + 1, F.lit(2 * k + 1)).alias("context"), F.when(marked, 1).otherwise(0).alias("hit")).where(F.col("context").rlike("^[ACGT]+$"))
-    return rows.groupBy("context").agg(F.sum("hit").alias("hit"), F.sum(1 - F.col("hit")).alias("nohit"))
+    return rows.withColumn("context", F.substring(F.col("seq"), F.col("pos") - k + 1, F.lit(2 * k + 1))).where(F.col("context").rlike("^[ACGT]+$"))
+
+
+def context_counts(seqs: DataFrame, *, k: int, centre: str = "A", marked: Column, weight: Column | None = None) -> DataFrame:
+    """(context, hit, nohit) over rows (…, seq): every ``centre`` base with k bases on both sides.
+
+    marked: a boolean Column of ``pos`` (0-based) and the columns of seqs. weight: what a base
+    counts for (1). Counting starts in the map tasks, so only one row a context and task is moved.
+    """
+    one = F.lit(1) if weight is None else weight
+    none = one * 0
+    rows = centres(seqs, k=k, centre=centre).select("context", F.when(marked, one).otherwise(none).alias("hit"), F.when(marked, none).otherwise(one).alias("nohit"))
+    return rows.groupBy("context").agg(F.sum("hit").alias("hit"), F.sum("nohit").alias("nohit"))
+
+
+def accessibility(counts: DataFrame) -> DataFrame:
+    """(context, accessible_bp, total_bp, p_accessible) of counts by context, hit: protected; 0.5 without any."""
+    total = F.col("hit") + F.col("nohit")
+    return counts.select("context", F.col("nohit").alias("accessible_bp"), total.alias("total_bp"), F.when(total > 0, F.col("nohit") / total).otherwise(0.5).alias("p_accessible"))
+
+
+def supported_rates(target: DataFrame, priors: DataFrame, least: int = 100) -> DataFrame:
+    """(context, rate, p_accessible, n) where both tables have ``least`` observations of a context."""
+    total = F.col("hit") + F.col("nohit")
+    rates = target.where(total >= least).select("context", (F.col("hit") / total).alias("rate"), total.alias("n"))
+    return rates.join(priors.where(F.col("total_bp") >= least), "context").select("context", "rate", "p_accessible", "n")
+
+
+def filled(coded: DataFrame, code: str, n: int) -> DataFrame:
+    """(code, hit, nohit) with every code from 0 to n - 1; those the table lacks count 0."""
+    every = coded.sparkSession.range(n).select(F.col("id").alias(code))
+    return every.join(coded.select(code, "hit", "nohit"), code, "left").fillna(0, ["hit", "nohit"])
 
 
 def trim_contexts(counts: DataFrame, k: int, to: list[int]) -> DataFrame:

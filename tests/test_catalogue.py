@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(row):
-    return tuple(None if v is None or v != v else v if isinstance(v, (str, bool)) or hasattr(v, "year") else round(float(v), 5) for v in row)
+    return tuple(None if v is None or v is pd.NA or v != v else v if isinstance(v, (str, bool)) or hasattr(v, "year") else round(float(v), 5) for v in row)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
