@@ -9,6 +9,7 @@ from molspan.functions import alignment, chain
 from molspan.functions import sequences as S
 from molspan.operators import circular, contexts, intervals, recall, segments
 from molspan.session import cut
+from molspan.sources import tables
 
 from .bridge import INTERVALS, MODEL, OBS, coded_reads, seqs_sql, table
 from .bridge import intervals as intervals_of
@@ -314,3 +315,44 @@ def jn18(spark, sf_dir):
 @query("q_iv26_analysed_span", f"WITH {INTERVALS} SELECT read_id, min(start) AS lo, max(stop) AS hi, CAST(max(stop) - min(start) AS BIGINT) AS span FROM iv GROUP BY read_id")
 def iv26(spark, sf_dir):
     return intervals_of(spark, sf_dir).groupBy("read_id").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"), (F.max("stop") - F.min("start")).alias("span"))
+
+
+TAGGED = f"""WITH {INTERVALS}, x AS (SELECT read_id, CASE WHEN kind = 'tf' THEN 'tf' WHEN score > 30 THEN 'msp' ELSE 'nuc' END AS kind, start, stop - start AS n, score FROM iv),
+g AS (SELECT read_id, string_agg(start, ',' ORDER BY start, n, score) FILTER (kind = 'nuc') AS ns, string_agg(n, ',' ORDER BY start, n, score) FILTER (kind = 'nuc') AS nl,
+  string_agg(start, ',' ORDER BY start, n) FILTER (kind = 'msp') AS a_s, string_agg(n, ',' ORDER BY start, n) FILTER (kind = 'msp') AS al,
+  string_agg((start + 1) || '-' || n, ',' ORDER BY start, n) FILTER (kind = 'nuc') AS mn, string_agg((start + 1) || '-' || n, ',' ORDER BY start, n) FILTER (kind = 'msp') AS mm, string_agg((start + 1) || '-' || n, ',' ORDER BY start, n) FILTER (kind = 'tf') AS mt,
+  string_agg(score, ',' ORDER BY start, n, score) FILTER (kind = 'nuc') AS qn, string_agg(score || ',' || (start % 256) || ',7', ',' ORDER BY start, n, score) FILTER (kind = 'tf') AS qt FROM x GROUP BY read_id)
+SELECT read_id, coalesce(ns, '') AS ns, coalesce(nl, '') AS nl, coalesce(a_s, '') AS a_s, coalesce(al, '') AS al, concat_ws(';', '600', 'nuc.Q:' || mn, 'msp.:' || mm, 'tf.QQQ:' || mt) AS ma,
+  CASE WHEN qn IS NOT NULL OR qt IS NOT NULL THEN concat_ws(',', qn, qt) END AS aq FROM g"""
+
+
+@query("q_iv28_tags", TAGGED)
+def iv28(spark, sf_dir):
+    rows = intervals_of(spark, sf_dir)
+    bound, other = rows.where("kind = 'tf'"), rows.where("kind = 'nuc'")
+    bound = bound.select("read_id", "start", "stop", F.col("score").alias("tq"), (F.col("start") % 256).alias("el"), F.lit(7).alias("er"))
+    nucs, msps = other.where("score <= 30").select("read_id", "start", "stop", F.col("score").alias("nq")), other.where("score > 30").select("read_id", "start", "stop")
+    found = tables.tags(nucs, msps, bound, rows.select("read_id", F.lit(600).alias("length")).distinct(), ["read_id"])
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select("read_id", text("ns").alias("ns"), text("nl").alias("nl"), text("as").alias("a_s"), text("al").alias("al"), "ma", text("aq").alias("aq"))
+
+
+LINES = f"""SELECT s.read_id, s.read_id || chr(9) || 'chr1' || chr(9) || '0' || chr(9) || n || chr(9) || '+' || chr(9) || posteriors || chr(9) || coalesce(starts, '') || chr(9) || coalesce(sizes, '') AS line
+FROM (SELECT read_id, count(*) AS n, to_base64(unhex(string_agg(printf('%02x', CAST(trunc(least(greatest(p * 255, 0), 255)) AS INT)), '' ORDER BY pos))) AS posteriors FROM ({POSTERIOR}) GROUP BY read_id) s
+LEFT JOIN (SELECT read_id, string_agg(start, ',' ORDER BY start) AS starts, string_agg(stop - start, ',' ORDER BY start) AS sizes FROM ({VITERBI} SELECT read_id, start, stop FROM runs WHERE state = 0) GROUP BY read_id) f ON f.read_id = s.read_id"""
+
+
+@query("q_snk14_posterior_lines", LINES)
+def snk14(spark, sf_dir):
+    runs = segments.runs(states_of(spark, sf_dir), ["read_id"]).where("state = 0")
+    prints = runs.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("footprints"))
+    found = chain.run_chain(coded_reads(spark, sf_dir), MODEL, want="posterior").join(prints, "read_id", "left")
+    held = F.coalesce("footprints", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    fields = [F.col("read_id"), F.lit("chr1"), F.lit(0), F.size("posterior"), F.lit("+")]
+    return found.select("read_id", tables.posterior_line(posterior=F.col("posterior"), footprints=held, fields=fields).alias("line"))
+
+
+@query("q_snk12_score_rows", f"WITH {INTERVALS} SELECT read_id, CAST(row_number() OVER (PARTITION BY read_id ORDER BY start, stop, score) - 1 AS INT) AS footprint, start, stop, score FROM iv")
+def snk12(spark, sf_dir):
+    rows = intervals_of(spark, sf_dir).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "score"))).alias("footprints"))
+    return tables.footprint_rows(rows, ["read_id"])

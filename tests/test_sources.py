@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from molspan.sources import alignments
 
@@ -35,3 +36,30 @@ def test_broken_file(tmp_path):
     path.write_bytes(b"")
     with open(path, "rb") as raw, pytest.raises(ValueError):
         alignments.header(alignments.Blocks(raw))
+
+
+def test_posteriors_and_scores_come_back(spark, tmp_path):
+    from molspan.sources import tables
+
+    shape = "read_id string, chrom string, start long, stop long, strand string, posterior array<double>, footprints array<struct<start:bigint,stop:bigint>>"
+    many = [k / 255 for k in range(256)]
+    rows = [("a", "chr1", 5, 8, "+", many, [(0, 2), (4, 9)]), ("b", "chr2", 0, 0, ".", [], [])]
+    tables.write_posteriors(spark.createDataFrame(rows, shape), f"{tmp_path}/p", mode="x")
+    back = {r.read_id: r for r in tables.read_posteriors(spark, f"{tmp_path}/p").collect()}
+    assert [tuple(x) for x in back["a"].footprints] == [(0, 2), (4, 9)] and back["b"].posterior == [] and back["b"].footprints == []
+    assert max(abs(x - y) for x, y in zip(back["a"].posterior, many)) <= 1 / 255 and len(back["a"].posterior) == 256
+    assert '"mode": "x"' in spark.read.text(f"{tmp_path}/p/about").first()[0]
+
+    scored = spark.createDataFrame([("a", "chr1", 5, 8, "+", [(0, 2, 0.5), (4, 9, 0.25)])], "read_id string, chrom string, start long, stop long, strand string, footprints array<struct<start:bigint,stop:bigint,score:double>>")
+    tables.write_scores(scored, f"{tmp_path}/s")
+    tables.write_scores(scored.withColumn("chrom", F.lit("chr2")), f"{tmp_path}/s", append=True)
+    assert spark.read.parquet(f"{tmp_path}/s/reads").count() == 2
+    found = spark.read.parquet(f"{tmp_path}/s/footprints").where("chrom = 'chr1'").orderBy("footprint")
+    assert [(r.footprint, r.start, r.stop, r.score) for r in found.collect()] == [(0, 0, 2, 0.5), (1, 4, 9, 0.25)]
+
+
+def test_bed_lines_are_sorted(spark):
+    from molspan.sources import tables
+
+    lines = spark.createDataFrame([("chr2\t5\t6",), ("chr10\t9\t10",), ("chr10\t10\t11",), ("chr2\t40\t41",)], "line string")
+    assert [r.line.split("\t")[:2] for r in tables.sorted_bed(lines).collect()] == [["chr10", "9"], ["chr10", "10"], ["chr2", "5"], ["chr2", "40"]]
