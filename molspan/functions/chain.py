@@ -146,12 +146,34 @@ def train_step(reads: DataFrame, model: Model, **columns: str) -> tuple[Model, f
     return Model((g0 / (g0 + g1), g1 / (g0 + g1)), (x["x00"] / (x["x00"] + x["x01"]), x["x11"] / (x["x10"] + x["x11"])), model.emission), r["score"]
 
 
-def train(reads: DataFrame, model: Model, *, rounds: int = 1000, least: float = 1e-4, **columns: str) -> Model:
-    """Steps until the likelihood rises by less than ``least``."""
+def fitted(reads: DataFrame, model: Model, *, rounds: int = 1000, least: float = 1e-4, **columns: str) -> tuple[Model, float]:
+    """Steps until the likelihood rises by less than ``least``: the model, and the likelihood of the last one looked at."""
     before = None
     for _ in range(rounds):
         new, score = train_step(reads, model, **columns)
         if before is not None and score - before < least:
-            return model.ordered()
+            return model.ordered(), score
         model, before = new, score
-    return model.ordered()
+    return model.ordered(), before or 0.0
+
+
+def train(reads: DataFrame, model: Model, **options) -> Model:
+    """The model of ``fitted``."""
+    return fitted(reads, model, **options)[0]
+
+
+def train_best(reads: DataFrame, model: Model, *, restarts: int = 10, **options) -> tuple[Model, float]:
+    """The likeliest of ``restarts`` trainings from random start and transition chances; attempt i is seeded by i.
+
+    Every step reads ``reads`` anew, so write it to a table first. Emissions stay as in ``model``.
+    """
+    best = None
+    for i in range(restarts):
+        rng = np.random.default_rng(i)
+        start, *rows = (rng.dirichlet((1.0, 1.0)) for _ in range(3))
+        found = fitted(reads, Model((float(start[0]), float(start[1])), (float(rows[0][0]), float(rows[1][1])), model.emission), **options)
+        if best is None or found[1] > best[1]:
+            best = found
+    if best is None:
+        raise ValueError("at least one attempt is needed")
+    return best

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molspan.session import cut
-
-from .intervals import complement, merge, split_circular, tile
+from .intervals import tiled
 
 
 def project_centre(rows: DataFrame, by: list[str], length: str = "length") -> DataFrame:
@@ -24,13 +22,35 @@ def project_centre(rows: DataFrame, by: list[str], length: str = "length") -> Da
     return kept.select(*by, F.when(around, F.lit(0)).otherwise(F.col("start") - size).cast("long").alias("start"), n.cast("long").alias("n")).distinct()
 
 
+def on_circle(items: Column, length: Column, shift: Column) -> Column:
+    """Sorted linear pieces (start, minus: the negative stop) of (start, n) items, seen from ``shift`` on."""
+
+    def pieces(x: Column) -> Column:
+        at, n = F.pmod(x["start"] - shift, length), F.least(x["n"], length)
+        first = F.struct(at.cast("bigint").alias("start"), (-F.least(at + n, length)).cast("bigint").alias("minus"))
+        rest = F.struct(F.lit(0).cast("bigint").alias("start"), (length - at - n).cast("bigint").alias("minus"))
+        return F.when(at + n > length, F.array(first, rest)).otherwise(F.array(first))
+
+    return F.sort_array(F.flatten(F.transform(items, pieces)))
+
+
+def uncovered(pieces: Column, length: Column) -> Column:
+    """First base that none of the sorted linear pieces covers; null if there is none."""
+    end = F.aggregate(pieces, F.lit(0).cast("bigint"), lambda c, x: F.when(x["start"] <= c, F.greatest(c, -x["minus"])).otherwise(c))
+    return F.when(end < length, end)
+
+
+def lists_of(rows: DataFrame, molecules: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, length, items): the intervals of each molecule, of which there may be none."""
+    items = rows.where("n > 0").groupBy(*by).agg(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("n").cast("bigint").alias("n"))).alias("items"))
+    empty = F.array().cast("array<struct<start:bigint,n:bigint>>")
+    return molecules.where("length > 0").select(*by, F.col("length").cast("bigint").alias("length")).join(items, by, "left").withColumn("items", F.coalesce("items", empty))
+
+
 def first_uncovered(rows: DataFrame, molecules: DataFrame, by: list[str]) -> DataFrame:
     """(*by, cut): first base of each molecule (*by, length) that no (start, n) covers; null if all are covered."""
-    sized = rows.join(molecules, by)
-    pieces = split_circular(sized, F.col("length")).select(*by, "start", (F.col("start") + F.col("n")).alias("stop"))
-    span = molecules.select(*by, F.lit(0).cast("long").alias("lo"), F.col("length").alias("hi"))
-    free = complement(merge(pieces, by), by, span).groupBy(*by).agg(F.min("start").alias("cut"))
-    return molecules.select(*by).join(free, by, "left")
+    held = lists_of(rows, molecules, by)
+    return held.select(*by, uncovered(on_circle(F.col("items"), F.col("length"), F.lit(0)), F.col("length")).alias("cut"))
 
 
 def tile_circle(rows: DataFrame, molecules: DataFrame, by: list[str], *, least: int = 85, gap: int = 1) -> DataFrame:
@@ -39,23 +59,19 @@ def tile_circle(rows: DataFrame, molecules: DataFrame, by: list[str], *, least:
     rows: (*by, start, n); molecules: (*by, length). The circle is opened at its first
     uncovered base (0 if there is none), what still goes over the opening is split, then
     it is tiled as a line. A molecule with an interval of its whole length is that interval
-    (or accessible, if under ``least``); one without intervals is accessible.
+    (or accessible, if under ``least``); one without intervals is accessible. Accessible
+    stretches under ``gap`` go. The list of one molecule is folded inside the JVM.
     """
-    long_ = lambda c: c.cast("long")
-    kept = rows.where("n > 0").select(*by, "start", "n").join(molecules.where("length > 0"), by)
-    whole = kept.where("n >= length").select(*by, "length").distinct()
-    parts = cut(kept.join(whole, by, "left_anti"))
-    opened = parts.select(*by, "start", "n", "length").join(first_uncovered(parts.select(*by, "start", "n"), parts.select(*by, "length").distinct(), by), by).withColumn("cut", F.coalesce("cut", F.lit(0)))
-    turned = opened.withColumn("start", F.pmod(F.col("start") - F.col("cut"), F.col("length")))
-    line = split_circular(turned, F.col("length")).withColumn("stop", F.col("start") + F.col("n"))
-    nucs = cut(tile(line, by, least=least).select(*by, "start", "stop"))
-    sizes = opened.select(*by, "length", "cut").distinct()
-    gaps = complement(nucs, by, sizes.select(*by, long_(F.lit(0)).alias("lo"), F.col("length").alias("hi")), gap)
-    both = nucs.withColumn("kind", F.lit("nuc")).unionByName(gaps.withColumn("kind", F.lit("msp"))).join(sizes, by)
-    back = both.select(*by, "kind", long_(F.pmod(F.col("start") + F.col("cut"), F.col("length"))).alias("start"), long_(F.col("stop") - F.col("start")).alias("n"))
-    bare = molecules.where("length > 0").select(*by, "length").join(kept.select(*by).distinct(), by, "left_anti").where(F.col("length") >= max(1, gap))
-    size = long_(F.col("length")).alias("n")
-    full = whole.where((F.col("length") >= least) | (F.col("length") >= max(1, gap)))
-    return back.unionByName(bare.select(*by, F.lit("msp").alias("kind"), long_(F.lit(0)).alias("start"), size)).unionByName(
-        full.select(*by, F.when(F.col("length") >= least, "nuc").otherwise("msp").alias("kind"), long_(F.lit(0)).alias("start"), size)
-    )
+    least, gap, size = max(1, least), max(1, gap), F.col("length")
+    held = lists_of(rows, molecules, by)
+    whole = F.exists("items", lambda x: x["n"] >= size)
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), (-size).alias("minus")))
+    held = held.withColumn("cut", F.when(whole, 0).otherwise(F.coalesce(uncovered(on_circle(F.col("items"), size, F.lit(0)), size), F.lit(0))).cast("bigint"))
+    held = held.withColumn("nucs", tiled(F.when(whole, one).otherwise(on_circle(F.col("items"), size, F.col("cut"))), least))
+    kind = "array<bigint>"
+    starts = F.concat(F.transform("nucs", lambda x: x["start"]).cast(kind), F.array(size))
+    stops = F.concat(F.array(F.lit(0)).cast(kind), F.transform("nucs", lambda x: x["stop"]).cast(kind))
+    gaps = F.filter(F.zip_with(stops, starts, lambda a, b: F.struct(F.lit("msp").alias("kind"), a.alias("start"), b.alias("stop"))), lambda x: x["stop"] - x["start"] >= gap)
+    both = F.concat(F.transform("nucs", lambda x: F.struct(F.lit("nuc").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))), gaps)
+    out = held.select(*by, "length", "cut", F.explode(both).alias("x"))
+    return out.select(*by, "x.kind", F.pmod(F.col("x.start") + F.col("cut"), size).alias("start"), (F.col("x.stop") - F.col("x.start")).alias("n"))

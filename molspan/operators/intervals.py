@@ -70,14 +70,11 @@ def split_circular(rows: DataFrame, length: Column) -> DataFrame:
     return out.select(*[c for c in rows.columns if c not in ("start", "n")], F.posexplode("__pieces").alias("piece", "__p")).withColumns({"start": F.col("__p.start"), "n": F.col("__p.n")}).drop("__p")
 
 
-def tile(rows: DataFrame, by: list[str], *, least: int = 85) -> DataFrame:
-    """A tiling without overlaps: by (start, longest first), each clipped to where the last ended.
+def tiled(items: Column, least: int) -> Column:
+    """array<struct<start, stop, clipped>>: a sorted array of (start, minus: the negative stop) without overlaps.
 
-    Returns (*by, start, stop, clipped); what is then under ``least`` goes. The list of one
-    molecule is folded inside the JVM.
+    Each is clipped to where the last one ended; what is then under ``least`` goes.
     """
-    item = F.struct("start", (-F.col("stop")).alias("minus"))
-    lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint,clipped:boolean>>")
     begin = F.struct(F.lit(None).cast("bigint").alias("last"), empty.alias("out"))
 
@@ -88,7 +85,18 @@ def tile(rows: DataFrame, by: list[str], *, least: int = 85) -> DataFrame:
         one = F.array(F.struct(start.alias("start"), stop.alias("stop"), (start > x["start"]).alias("clipped")))
         return F.struct(F.when(fits, stop).otherwise(acc["last"]).alias("last"), F.when(fits, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    folded = lists.select(*by, F.explode(F.aggregate("items", begin, step, lambda acc: acc["out"])).alias("t"))
+    return F.aggregate(items, begin, step, lambda acc: acc["out"])
+
+
+def tile(rows: DataFrame, by: list[str], *, least: int = 85) -> DataFrame:
+    """A tiling without overlaps: by (start, longest first), each clipped to where the last ended.
+
+    Returns (*by, start, stop, clipped); what is then under ``least`` goes. The list of one
+    molecule is folded inside the JVM.
+    """
+    item = F.struct("start", (-F.col("stop")).alias("minus"))
+    lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    folded = lists.select(*by, F.explode(tiled(F.col("items"), least)).alias("t"))
     return folded.select(*by, "t.start", "t.stop", "t.clipped")
 
 

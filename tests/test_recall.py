@@ -139,3 +139,23 @@ def test_deaminations_and_stamps(spark):
     assert [tuple(r) for r in subs] == [(2, "A"), (4, "T"), (7, "C")]
     one = df.select(alignment.deaminations(F.lit("2G1^CC0C3"), F.col("ops"), F.lit("GGACATTGTA")).alias("d"), alignment.stamp(F.lit("ACGT"), F.array(F.lit(1).cast("bigint")), "Y").alias("s")).first()
     assert one.d.ct == [6] and one.d.ga == [4] and one.s == "AYGT"
+
+
+def test_training_from_several_starts(spark):
+    from molspan.functions import chain
+
+    rng = np.random.default_rng(4)
+    emission = ((0.05, 1e-30, 0.95), (0.9, 1e-30, 0.1))
+    rows = []
+    for m in range(20):
+        state, codes = m % 2, []
+        for _ in range(60):
+            state = state if rng.random() < 0.9 else 1 - state
+            codes.append(0 if rng.random() < emission[state][0] else 2)
+        rows.append((m, codes))
+    reads = spark.createDataFrame(rows, "read_id long, codes array<int>").coalesce(1)
+    first = chain.Model((0.5, 0.5), (0.5, 0.5), emission)
+    model, score = chain.train_best(reads, first, restarts=2, rounds=12)
+    scores = [chain.fitted(reads, chain.Model((0.5, 0.5), (s, s), emission), rounds=12)[1] for s in (0.6, 0.8)]
+    assert abs(model.stay[0] - 0.9) < 0.08 and abs(model.stay[1] - 0.9) < 0.08
+    assert score >= max(scores) - 1.0
