@@ -356,3 +356,15 @@ def snk14(spark, sf_dir):
 def snk12(spark, sf_dir):
     rows = intervals_of(spark, sf_dir).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "score"))).alias("footprints"))
     return tables.footprint_rows(rows, ["read_id"])
+
+
+@query("q_wn11_spacing", f"WITH {INTERVALS}, g AS (SELECT read_id, lead((start + stop) / 2) OVER (PARTITION BY read_id ORDER BY start, stop) - (start + stop) / 2 AS gap FROM iv) SELECT read_id, gap FROM g WHERE gap BETWEEN 120 AND 260")
+def wn11(spark, sf_dir):
+    return intervals.spacing(intervals_of(spark, sf_dir), ["read_id"])
+
+
+@query("q_hmm18_adjusted", COUNTS + "SELECT context, round(least(1.0::DOUBLE, hit / (hit + nohit)::DOUBLE * 2.5), 6) AS p_acc, round(least(1.0::DOUBLE, nohit / (hit + nohit)::DOUBLE * 2.5), 6) AS p_prot FROM cc")
+def hmm18(spark, sf_dir):
+    c = counted(spark, sf_dir)
+    swapped = c.select("context", F.col("nohit").alias("hit"), F.col("hit").alias("nohit"))
+    return rounded(contexts.joined_tables(c, swapped, adjust=2.5), "p_acc", "p_prot")
