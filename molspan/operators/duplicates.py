@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molspan.llm.minhash import cross_links
 from molspan.session import cut
 
 from .graph import components
 
 
-#: Members of a bucket that the others are compared with.
-PIVOTS = 6
-
-
 def signature_bands(items: Column, bands: int, rows: int) -> Column:
     """Keys of bands over seeded minima of an array of longs."""
 
@@ -28,21 +25,33 @@ def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int
     """(id, cluster, size) of rows (id, group, items array<long>) with at least ``least`` items.
 
     Rows with the same set are one row to the comparison. Members of a bucket are compared
-    in full with its pivots (the first, the last and some by hash), not with each other; links that hold are closed transitively. cluster is the
+    in full with its pivot, the member that meets the most others; all other pairs that
+    could hold are compared in cross_links(), so no link between rows that share a bucket
+    is lost, whatever the bucket's size. Links are closed transitively. cluster is the
     smallest id, size the number of rows in it.
     """
-    rows_in = cut(sets.where(F.size("items") >= least).select("id", group, F.sort_array(F.array_distinct("items")).alias("items")))
-    keyed = rows_in.withColumn("same", F.sha2(F.concat_ws(",", F.col("items").cast("array<string>")), 256))
-    first = keyed.groupBy(group, "same").agg(F.min("id").alias("first"))
-    keyed = cut(keyed.join(first.withColumnRenamed(group, "__g"), (F.col(group).eqNullSafe(F.col("__g"))) & (keyed["same"] == first["same"])).select("id", group, "items", "first"))
-    alone = keyed.where("id = first").select("id", group, "items")
-    keys = alone.select("id", F.explode(signature_bands(F.col("items"), bands, rows)).alias("__b"), group).select("id", F.xxhash64("__b", group).alias("key"))
-    several = [F.min("id"), F.max("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS - 2)]]
-    pivots = keys.groupBy("key").agg(F.array(*several).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(pivots, "key").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot").distinct()
-    both = pairs.join(alone.select("id", "items"), "id").join(alone.select(F.col("id").alias("pivot"), F.col("items").alias("others")), "pivot")
-    shared = F.size(F.array_intersect("items", "others"))
-    links = both.where(shared >= threshold * (F.size("items") + F.size("others") - shared)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    rows_in = sets.where(F.size("items") >= least).select("id", group, F.sort_array(F.array_distinct("items")).alias("items"))
+    rows_in = cut(rows_in.withColumn("same", F.sha2(F.concat_ws(",", F.col("items").cast("array<string>")), 256)))
+    first = rows_in.groupBy(group, "same").agg(F.min("id").alias("first"))
+    keyed = rows_in.select("id", group, "same").join(first.withColumnRenamed(group, "__g").withColumnRenamed("same", "__s"), (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("same") == F.col("__s")))
+    keyed = cut(keyed.select("id", "first"))
+    alone = rows_in.join(keyed.where("id = first").select("id"), "id", "left_semi")
+    keys = cut(alone.select("id", F.explode(signature_bands(F.col("items"), bands, rows)).alias("__b"), group).select("id", F.xxhash64("__b", group).alias("key")))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(keys.join(several, "key"))
+    degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    pivots = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("pivot"))
+    pairs = cut(members.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct())
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
+    sets = cut(rows_in.join(wanted, "id", "left_semi").select("id", F.col("items").alias("shingles")))
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("others")), "pivot")
+    shared = F.size(F.array_intersect("shingles", "others"))
+    measured = both.select("id", "pivot", shared.cast("long").alias("shared"), (F.size("shingles") + F.size("others") - shared).cast("long").alias("either"))
+    percent = round(100 * threshold, 6)
+    measured = cut(measured.withColumn("linked", 100 * F.col("shared") >= percent * F.col("either")))
+    direct = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    apart = measured.select("pivot", "id", F.when(F.col("linked"), 0.0).otherwise(F.greatest(1 - F.col("shared") / F.col("either"), F.lit(1.00001 - percent / 100))).alias("distance"))
+    links = direct.unionByName(cross_links(apart, sets, percent, dict(rows_in.dtypes)["id"]))
     found = components(cut(links))
     out = keyed.select("id", "first").join(found.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("cluster"))
     out = cut(out)
