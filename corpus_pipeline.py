@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that an earlier place has. n_chars follows the text."""
-    cleaned = line_dedup.line_dedup(docs)
+    """All documents, without passages of lines that an earlier place has. n_chars follows the text."""
+    cleaned = line_dedup.line_dedup(docs, pairs=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

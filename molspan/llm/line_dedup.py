@@ -42,8 +42,12 @@ def chunk_bounds(lines: list[bytes], window: int = WINDOW, mean: int = MEAN_LINE
     return out
 
 
-def chunks(text: str | None, least: int = 2, **shape: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk of at least ``least`` lines that has a word."""
+def chunks(text: str | None, least: int = 2, pairs: bool = False, **shape: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, lines, bytes) of each chunk of at least ``least`` lines that has a word.
+
+    pairs: then also of each two lines with a word that follow each other, with the blank
+    lines between them.
+    """
     if not text:
         return
     lines = text.encode("utf-8").split(b"\n")
@@ -51,9 +55,13 @@ def chunks(text: str | None, least: int = 2, **shape: int) -> Iterator[tuple[int
     for a, b in zip(bounds, bounds[1:]):
         if b - a >= least and (content := b"\n".join(lines[a:b])).strip(b" \t\n\x0b\x0c\r"):
             yield a, b - a, content
+    if pairs:
+        solid = [k for k, x in enumerate(lines) if x.strip(b" \t\n\x0b\x0c\r")]
+        for a, b in zip(solid, solid[1:]):
+            yield a, b + 1 - a, b"\n".join(lines[a : b + 1])
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, window: int = WINDOW, mean: int = MEAN_LINES, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, window: int = WINDOW, mean: int = MEAN_LINES, counts: bool = False, pairs: bool = False) -> DataFrame:
     """docs with repeated chunks of lines taken out of text_col (counts: plus n_lines, n_removed_lines).
 
     Lines are what \\n splits. A chunk of at least ``least`` lines that has a word and whose
@@ -61,6 +69,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     other places are taken out. All rows and columns stay; a text may become empty. A
     shorter chunk never goes, so a single repeated line stays.
 
+    pairs: pairs of lines (see chunks()) are treated like chunks. So of any passage of two
+    or more lines with a word that has an earlier place, all lines go from its first such
+    line to its last, whatever the boundaries. A place that overlaps the first one, as in
+    a run of equal lines, stays.
+
     Null text: null, 0 lines. An empty text has one (empty) line. Null ids come after all
     others. Rows alike in id and text are one document and are treated alike; rows with
     one id and several texts are documents of their own. Columns n_lines and
@@ -71,7 +84,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     digest with several contents is left alone. Lists of places are joined to the texts
     by id, which moves each text once.
     """
-    shape = {"least": least, "window": window, "mean": mean}
+    shape = {"least": least, "window": window, "mean": mean, "pairs": pairs}
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
@@ -103,6 +116,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     alike = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("first"), F.max("group_size").alias("size")).where("contents = 1 AND size > 1")
     alike = cut(alike.select("digest", "first"))
     gone = places.join(small(alike, n_again), "digest").where(place != F.col("first"))
+    here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    gone = gone.where(~(here & (F.col("line") < F.col("first.line") + F.col("lines"))))
     gone = cut(gone.groupBy("id", "mark").agg(F.collect_set(F.struct("line", "lines")).alias("__gone")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone"))
 
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed_lines")]
@@ -131,4 +146,4 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def op7(spark, sf_dir: str) -> DataFrame:
     """Registered query: all ``documents``; doc_id, the text that is left, and counts of lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs, counts=True)
+    return line_dedup(docs, counts=True, pairs=True)
