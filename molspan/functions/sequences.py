@@ -106,6 +106,12 @@ def parse_annotations(text: Column) -> Column:
     return F.flatten(F.transform(kinds, of))
 
 
+def parse_skips(mm: Column) -> Column:
+    """Skip counts of a text ``base+code,skip,skip,...;`` of one kind of mark, all of them."""
+    parts = F.split(F.regexp_replace(mm, ";", ""), ",")
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: x.cast("long"))
+
+
 def mark_ordinals(skips: Column) -> Column:
     """Ordinals of marked bases from skip counts: running sum of skip + 1, less 1."""
     empty = F.array().cast("array<bigint>")

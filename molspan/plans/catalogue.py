@@ -404,9 +404,10 @@ def fn01(spark, sf_dir):
     w = Window.partitionBy("read_id").orderBy("pos")
     skips = hits.withColumn("skip", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-1)) - 1)
     text = skips.groupBy("read_id").agg(F.concat(F.lit("A+a,"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "skip"))), lambda x: x["skip"].cast("string")), ","), F.lit(";")).alias("mm"))
-    numbers = F.transform(F.slice(F.split(F.regexp_replace("mm", ";", ""), ","), 2, 1_000_000), lambda x: x.cast("long"))
-    out = text.select("read_id", F.posexplode(S.mark_ordinals(numbers)).alias("k", "pos"))
-    return out.withColumn("k", F.col("k").cast("long"))
+    marks = text.select("read_id", F.posexplode(S.parse_skips(F.col("mm"))).alias("k", "skip"))
+    # mark_ordinals() copies its array for each mark, so long molecules are summed over rows
+    upto = Window.partitionBy("read_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.select("read_id", F.col("k").cast("long").alias("k"), (F.sum(F.col("skip") + 1).over(upto) - 1).alias("pos"))
 
 
 @query("q_fn25_unit_byte", "SELECT l_orderkey, l_linenumber, CAST(trunc(least(greatest(l_discount * 255, 0), 255)) AS INT) AS u8 FROM lineitem")
