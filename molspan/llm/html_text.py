@@ -26,6 +26,8 @@ NAMES = set(
     "dropdown foot footer form gdpr header login masthead menu menubar modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
     "recommended related replies respond rail share sharing sidebar sidenav signup skip skiplink social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
+# Words that name a place, beside one of NAMES in a compound such as site-footer.
+PLACES = set("site main page global primary secondary top bottom list bar box area section wrapper container wrap block inner links link text left right".split())
 OWN_HEAD = set("article entry post story content section".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
@@ -38,24 +40,34 @@ RIGHTS = re.compile(r"^(?:©|\(c\) \d|copyright\b|all rights reserved)", re.I)
 WINDOW, SURGE = 3, 80
 
 
-def is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in BOILERPLATE or (tag == "header" and not in_main):
-        return True
+FIRM, SOFT = 1, 2
+
+
+def is_boilerplate(tag: str, attributes: str, in_main: bool) -> int:
+    """0, FIRM, or SOFT for a form, header or mere name, which is no reason to cut out what holds the page's text.
+
+    A name is a whole class or id, or a compound of NAMES and PLACES alone.
+    """
+    soft = tag == "form" or tag == "header" and not in_main
+    if tag in BOILERPLATE and not soft:
+        return FIRM
     if not attributes or tag in ("html", "body", *MAIN):
-        return False
+        return SOFT * soft
     for name, *value in NAMED.findall(attributes):
         name, value = name.lower(), next((v for v in value if v), "").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES - {"form"}:
+            return FIRM
+        if name == "role" and value == "form":
+            soft = True
         if name in ("class", "id"):
             for token in value.split():
-                words = set(re.split(r"[^a-z0-9]+", token))
-                if words & NAMES and not (words & NAMES <= {"header", "byline"} and words & OWN_HEAD):
-                    return True
-    return False
+                words = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+                if words & NAMES and words <= NAMES | PLACES | OWN_HEAD and not (words & NAMES <= {"header", "byline"} and words & OWN_HEAD):
+                    soft = True
+    return SOFT * soft
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
+def page_lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, bool, int]]:
     """(text, characters outside links, in article or main, element) for each block; ("", 0, ...) where something was cut out.
 
     element: a number for the innermost open element that isn't closed by itself, as a
@@ -63,15 +75,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
 
     Blocks are what block elements divide. Character references are decoded after the
     markup is gone, once.
+
+    spared: places of tags that cut nothing out. The page is read again with those SOFT
+    ones that hold a main element, all of its articles, or most of its text outside links.
     """
     out: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     linked = main = cut_out = link = 0
     stack: list[tuple[str, bool, bool]] = []
+    unlinked = mains = articles = 0  # so far, in what is cut out too
+    soft: dict[int, list[int]] = {}  # by place of the tag: these three where it opens, then what it holds
+    pending: list[tuple[int, int]] = []  # (depth in the stack, place) of open soft ones
     path, opened = [0], 0  # numbers of open elements
 
     def say(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, unlinked
+        if not link:
+            unlinked += len(piece.strip(SPACES))
         if piece and not cut_out:
             text.append(piece)
             if link:
@@ -94,6 +114,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal main, cut_out
         while len(stack) > k:
             name, is_main, is_cut = stack.pop()
+            if pending and pending[-1][0] == len(stack):
+                place = pending.pop()[1]
+                soft[place] = [now - then for now, then in zip((unlinked, mains, articles), soft[place])]
             if name in HOLDERS:
                 path.pop()
             if is_main or is_cut:
@@ -145,6 +168,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
                 link = 0 if closing else 1
             if not closing and attributes and not cut_out and is_boilerplate(tag, attributes, main > 0):
                 gap()
+                # an inline element is cut out at its name, whatever it holds
                 stack.append((tag, False, True))
                 cut_out += 1
             elif closing and stack and stack[-1][0] == tag:
@@ -162,7 +186,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
                     break
             continue
         is_main = tag in MAIN or 'role="main"' in attributes
-        is_cut = is_boilerplate(tag, attributes, main > 0)
+        kind = is_boilerplate(tag, attributes, main > 0)
+        is_cut = kind > 0 and lt not in spared
+        if kind == SOFT and is_cut:
+            soft[lt] = [unlinked, mains, articles]
+            pending.append((len(stack), lt))
+        mains += is_main and tag != "article"
+        articles += tag == "article"
         if is_main or is_cut:
             gap()
         stack.append((tag, is_main, is_cut))
@@ -172,6 +202,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int]]:
         main += is_main
         cut_out += is_cut
     end_block()
+    close(0)
+    if not spared:
+        holders = frozenset(k for k, (text_in, mains_in, articles_in) in soft.items() if mains_in or articles and articles_in == articles or 2 * text_in > unlinked)
+        if holders:
+            return page_lines(page, holders)
     return out
 
 
