@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def deaminations(md: Column, ops: Column, seq: Column) -> Column:
 
 
 def stamp(seq: Column, positions: Column, sign: str) -> Column:
-    """The sequence with ``sign`` (Y or R) written at 0-based positions."""
-    letters = F.transform(F.split(seq, ""), lambda c, i: F.when(F.array_contains(positions, i.cast("bigint")), F.lit(sign)).otherwise(c))
-    return F.array_join(letters, "")
+    """The sequence with ``sign`` (Y or R) written at 0-based positions; those outside are passed by."""
+
+    @F.arrow_udf("string")
+    def write(seq: pa.Array, positions: pa.Array) -> pa.Array:
+        out = []
+        for text, at in zip(seq.to_pylist(), positions):
+            if text is None or not at.is_valid:
+                out.append(text)
+                continue
+            letters, where = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy(), np.asarray(at.values, np.int64)
+            letters[where[(where >= 0) & (where < len(letters))]] = ord(sign)
+            out.append(letters.tobytes().decode("utf-32-le"))
+        return pa.array(out, pa.string())
+
+    return write(seq, positions)

@@ -10,7 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from molspan.session import map_batches
+
 TINY = 1e-30
+#: Symbols that are decoded side by side, and symbols whose posteriors are.
+CELLS, POSTERIOR_CELLS = 4 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -33,43 +37,136 @@ class Model:
         return Model(self.start[::-1], self.stay[::-1], self.emission[::-1])
 
 
-def padded(codes: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of a batch side by side, one column each, and their lengths."""
-    length = np.asarray(pc.fill_null(pc.list_value_length(codes), 0), np.int64)
-    flat = np.asarray(codes.flatten(), np.int64)
-    out = np.zeros((int(length.max(initial=0)), len(length)), np.int64)
-    at = np.repeat(np.arange(len(length)), length)
-    out[np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length), at] = flat
-    return out, length
+class Steps:
+    """Sequences of one flat array walked side by side, the longest first, so those at an end drop out of the tail."""
+
+    def __init__(self, length: np.ndarray) -> None:
+        self.length = np.asarray(length, np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.order = np.argsort(-self.length, kind="stable")
+        self.longest = int(self.length.max(initial=0))
+        self.begin = self.first[self.order]
+        #: how many sequences have a symbol at step t
+        self.active = np.searchsorted(-self.length[self.order], -np.arange(self.longest), "left")
+
+
+def parts(length: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences of about ``cells`` symbols in all; a longer one by itself."""
+    if len(length):
+        group = (np.cumsum(length) - 1).clip(0) // cells
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(length)]
+        yield from zip(edges[:-1], edges[1:])
+
+
+def clamped(steps: np.ndarray, walk: Steps, first: float, lo: float, hi: float) -> np.ndarray:
+    """x[t] = clip(x[t-1], lo, hi) + steps[t] of each sequence, where x[0] = first + steps[0]."""
+    out = np.empty_like(steps)
+    at = walk.begin.copy()
+    x = np.full(len(at), first)
+    for t in range(walk.longest):
+        m = walk.active[t]
+        here, now = at[:m], x[:m]
+        if t:
+            if lo > -np.inf:
+                np.maximum(now, lo, out=now)
+            if hi < np.inf:
+                np.minimum(now, hi, out=now)
+        now += steps[here]
+        out[here] = now
+        here += 1
+    return out
 
 
 def decode(codes: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
-    """Most likely states; ties go to state 0.
+    """Most likely states of sequences laid end to end; ties go to state 0.
 
     The difference d of the two scores is all that a step needs: it is held between
     p = a01 - a11 and q = a00 - a10 and moved by the symbol. Going back, d above q forces 1,
     d up to p forces 0, and between them the state is that of the next symbol. This holds
-    for sticky chains (p <= q), so others are refused.
+    for sticky chains (p <= q); others go through decode_any().
     """
     pi, a, e = model.logs()
     p, q = a[0, 1] - a[1, 1], a[0, 0] - a[1, 0]
     if p > q:
-        raise ValueError("the chain must rather stay than change")
-    delta = (e[1] - e[0])[codes]
-    d = np.empty_like(delta)
-    for t in range(len(codes)):
-        d[t] = (np.clip(d[t - 1], p, q) + a[1, 1] - a[0, 0] if t else pi[1] - pi[0]) + delta[t]
-    states = np.zeros(codes.shape, np.int8)
-    last = np.zeros(codes.shape[1], np.int8)
-    for t in range(len(codes) - 1, -1, -1):
-        end = t == length - 1
-        last = np.where(end, d[t] > 0, np.where(d[t] > q, 1, np.where(d[t] <= p, 0, last)))
-        states[t] = last
-    return states
+        return decode_any(codes, length, model)
+    walk = Steps(length)
+    moved = (e[1] - e[0])[codes]
+    shift = a[1, 1] - a[0, 0]
+    if shift:
+        moved += shift
+    d = clamped(moved, walk, pi[1] - pi[0] - shift, p, q)
+    last = (walk.first + walk.length - 1)[walk.length > 0]
+    one, forced = d > q, d <= p
+    one[last] = d[last] > 0
+    forced |= one
+    forced[last] = True
+    at = np.flatnonzero(forced)
+    return np.repeat(one[at].view(np.int8), np.diff(at, prepend=-1))
+
+
+def decode_any(codes: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
+    """decode() for any chain, with back-pointers."""
+    pi, a, e = model.logs()
+    walk = Steps(length)
+    came = np.zeros((2, len(codes)), np.int8)
+    best = np.zeros((2, len(walk.begin)))
+    out = np.zeros(len(codes), np.int8)
+    for t in range(walk.longest):
+        m = walk.active[t]
+        at = walk.begin[:m] + t
+        if t:
+            # of two equal ways the one from state 0
+            from_one = [best[1, :m] + a[1, s] > best[0, :m] + a[0, s] for s in (0, 1)]
+            score = [np.where(f, best[1, :m] + a[1, s], best[0, :m] + a[0, s]) for s, f in enumerate(from_one)]
+            came[0, at], came[1, at] = from_one
+            best[:, :m] = score
+        else:
+            best[:, :m] = pi[:, None]
+        best[:, :m] += e[:, codes[at]]
+    state = (best[1] > best[0]).astype(np.int8)
+    for t in range(walk.longest - 1, -1, -1):
+        m = walk.active[t]
+        at = walk.begin[:m] + t
+        out[at] = state[:m]
+        state[:m] = came[state[:m], at]
+    return out
+
+
+def log_odds(codes: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
+    """Log odds of state 1 at each symbol, given the whole sequence (forward and backward as two scalars a step)."""
+    pi, a, e = model.logs()
+    walk = Steps(length)
+    moved = (e[1] - e[0])[codes]
+    out = np.empty(len(codes))
+    x = np.full(len(walk.begin), pi[1] - pi[0])
+    for t in range(walk.longest):
+        m = walk.active[t]
+        at = walk.begin[:m] + t
+        if t:
+            x[:m] = np.logaddexp(a[0, 1], a[1, 1] + x[:m]) - np.logaddexp(a[0, 0], a[1, 0] + x[:m])
+        x[:m] += moved[at]
+        out[at] = x[:m]
+    x = np.zeros(len(walk.begin))
+    for t in range(walk.longest - 2, -1, -1):
+        m = walk.active[t + 1]
+        at = walk.begin[:m] + t
+        ahead = x[:m] + moved[at + 1]
+        x[:m] = np.logaddexp(a[1, 0], a[1, 1] + ahead) - np.logaddexp(a[0, 0], a[0, 1] + ahead)
+        out[at] += x[:m]
+    return out
+
+
+def accessible_chance(codes: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
+    """Posterior of state 1 at each symbol, some sequences at a time."""
+    out, ends = np.empty(len(codes)), np.concatenate(([0], np.cumsum(length)))
+    for i, j in parts(length, POSTERIOR_CELLS):
+        a, b = ends[i], ends[j]
+        out[a:b] = 1 / (1 + np.exp(np.clip(-log_odds(codes[a:b], length[i:j], model), -700, 700)))
+    return out
 
 
 def forward_backward(codes: np.ndarray, length: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(alpha, beta, log-likelihood, emission logs by step), all in logs, shape (steps, 2, sequences)."""
+    """(alpha, beta, log-likelihood, emission logs by step) of a (steps, sequences) array, all in logs, shape (steps, 2, sequences)."""
     pi, a, e = model.logs()
     steps, n = codes.shape
     emit = e[:, codes].transpose(1, 0, 2)
@@ -89,47 +186,75 @@ def forward_backward(codes: np.ndarray, length: np.ndarray, model: Model) -> tup
     return alpha, beta, total, emit
 
 
+def padded(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sequences laid end to end as columns side by side."""
+    out = np.zeros((int(length.max(initial=0)), len(length)), np.int64)
+    out[np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length), np.repeat(np.arange(len(length)), length)] = codes
+    return out
+
+
+def score_and_sums(codes: np.ndarray, length: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood of each sequence, sums over all: g0, g1, x00, x01, x10, x11)."""
+    _, a, _ = model.logs()
+    total, sums = np.zeros(len(length)), np.zeros(6)
+    order = np.argsort(length, kind="stable")  # those of like length together, so little is padded
+    first = np.cumsum(length) - length
+    for i, j in parts(length[order], POSTERIOR_CELLS):
+        some = order[i:j]
+        some = some[length[some] > 0]
+        if not len(some):
+            continue
+        n = length[some]
+        flat = codes[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        alpha, beta, score, emit = forward_backward(padded(flat, n), n, model)
+        total[some] = score
+        inside = np.arange(1, len(alpha))[:, None] < n
+        sums[:2] += np.exp(alpha[0] + beta[0] - score).sum(1)
+        if len(alpha) > 1:
+            sums[2:] += [float((np.exp(alpha[:-1, s] + a[s, r] + emit[1:, r] + beta[1:, r] - score) * inside).sum()) for s in (0, 1) for r in (0, 1)]
+    return total, sums
+
+
+def flat_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists laid end to end, and the lists' lengths; null counts as empty."""
+    return np.asarray(lists.flatten()), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+
+
+def to_lists(values: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(values, kind))
+
+
 def run_chain(reads: DataFrame, model: Model, *, want: str, id_col: str = "read_id", codes_col: str = "codes") -> DataFrame:
     """Applies the model to rows (id, codes array<int>), a batch of sequences at a time.
 
     want: "states" (array<tinyint>), "posterior" (array<double>, of state 1), "confidence"
-    (states, and the posterior of each: array<double>), "score" (double), or "statistics": (g0, g1, x00, x01, x10, x11, score) summed over a batch.
+    (states, and the posterior of each: array<double>), "score" (double), or "statistics":
+    (g0, g1, x00, x01, x10, x11, score) summed over a batch. What is held at once is bounded
+    by CELLS and POSTERIOR_CELLS symbols, and by the longest sequence.
     """
     kind = dict(reads.dtypes)[id_col]
     made = {"states": f"`{id_col}` {kind}, states array<tinyint>", "posterior": f"`{id_col}` {kind}, posterior array<double>", "confidence": f"`{id_col}` {kind}, states array<tinyint>, confidence array<double>", "score": f"`{id_col}` {kind}, score double", "statistics": "g0 double, g1 double, x00 double, x01 double, x10 double, x11 double, score double"}[want]
-
-    def lists(values: np.ndarray, length: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-        mask = np.arange(len(values))[:, None] < length
-        flat = values.T[mask.T]
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(flat, kind))
+    names = [x.strip().split()[0].strip("`") for x in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, length = padded(batch.column(1))
-            if want == "states":
-                out = [batch.column(0), lists(decode(codes, length, model), length, pa.int8())]
-            else:
-                alpha, beta, total, emit = forward_backward(codes, length, model)
-                if want == "score":
-                    out = [batch.column(0), pa.array(total)]
-                elif want in ("posterior", "confidence"):
-                    odds = alpha[:, 0] + beta[:, 0] - alpha[:, 1] - beta[:, 1]
-                    p = 1 / (1 + np.exp(np.clip(odds, -700, 700)))
-                    if want == "posterior":
-                        out = [batch.column(0), lists(p, length, pa.float64())]
-                    else:
-                        states = decode(codes, length, model)
-                        out = [batch.column(0), lists(states, length, pa.int8()), lists(np.where(states == 1, p, 1 - p), length, pa.float64())]
-                else:
-                    _, a, _ = model.logs()
-                    some = length > 0
-                    gamma = np.exp(alpha[0] + beta[0] - total)[:, some].sum(1) if len(codes) else np.zeros(2)
-                    inside = np.arange(1, len(codes))[:, None] < length
-                    moves = [float((np.exp(alpha[:-1, i] + a[i, j] + emit[1:, j] + beta[1:, j] - total) * inside).sum()) if len(codes) > 1 else 0.0 for i in (0, 1) for j in (0, 1)]
-                    out = [pa.array([float(x)]) for x in (*gamma, *moves, total.sum())]
-            yield pa.RecordBatch.from_arrays(out, names=[x.strip().split()[0].strip("`") for x in made.split(", ")])
-
-    return reads.select(id_col, codes_col).mapInArrow(run, made)
+        for whole in batches:
+            every = np.asarray(pc.fill_null(pc.list_value_length(whole.column(1)), 0), np.int64)
+            for i, j in parts(every, CELLS):
+                batch = whole.slice(i, j - i)
+                codes, length = flat_lists(batch.column(1))
+                out = [batch.column(0)]
+                if want in ("states", "confidence"):
+                    states = decode(codes, length, model)
+                    out.append(to_lists(states, length, pa.int8()))
+                if want in ("posterior", "confidence"):
+                    p = accessible_chance(codes, length, model)
+                    out.append(to_lists(p if want == "posterior" else np.where(states == 1, p, 1 - p), length, pa.float64()))
+                if want in ("score", "statistics"):
+                    total, sums = score_and_sums(codes, length, model)
+                    out = [*out, pa.array(total)] if want == "score" else [pa.array([float(x)]) for x in (*sums, total.sum())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return map_batches(reads.select(id_col, codes_col), run, made)
 
 
 def train_step(reads: DataFrame, model: Model, **columns: str) -> tuple[Model, float]:

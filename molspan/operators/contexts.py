@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molspan.functions.encoding import NUMBER, ORDER, contexts_at, iter_contexts
+from molspan.functions.marks import bytes_of
+from molspan.session import map_batches
+
+#: Flanks up to which the counts of all contexts fit an array in each task (4 ** 2k of them).
+DENSE_K = 6
+
+
+def coded_centres(seq: pa.Array, k: int, centre: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, code) of every ``centre`` base (upper case) with k known bases on both sides."""
+    data, length = bytes_of(seq)
+    base = np.where((data >= 97) & (data <= 122), 4, NUMBER[data]).astype(np.uint8)
+    first = np.cumsum(length) - length
+    at = np.flatnonzero(data == ord(centre))
+    row = np.searchsorted(first + length, at, "right")
+    near = (at - first[row] >= k) & (first[row] + length[row] - at > k)
+    at, row = at[near], row[near]
+    code, known = contexts_at(base, at, k, False)
+    return row[known], (at - first[row])[known], code[known]
+
+
+def centres(seqs: DataFrame, *, k: int, centre: str = "A", keep: list[str] | None = None) -> DataFrame:
+    """(*keep, pos, context) for every ``centre`` base of seq with k known bases on both sides; keep: all columns but seq."""
+    keep = [c for c in seqs.columns if c != "seq"] if keep is None else keep
+    rows = seqs.select(*keep, "seq")
+    text = [c for _, c in iter_contexts(k, centre)] if k <= DENSE_K else None
 
-def centres(seqs: DataFrame, *, k: int, centre: str = "A") -> DataFrame:
-    """Adds (pos, context) for every ``centre`` base of seq with k known bases on both sides."""
-    at = F.sequence(F.lit(k), F.length("seq") - 1 - k)
-    inside = F.when(F.length("seq") > 2 * k, F.filter(at, lambda i: F.substring(F.col("seq"), i + 1, F.lit(1)) == centre)).otherwise(F.array().cast("array<int>"))
-    rows = seqs.withColumn("pos", F.explode(inside))
-    return rows.withColumn("context", F.substring(F.col("seq"), F.col("pos") - k + 1, F.lit(2 * k + 1))).where(F.col("context").rlike("^[ACGT]+$"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None if text is None else pa.array(text)
+        for batch in batches:
+            row, at, code = coded_centres(batch.column(len(keep)), k, centre)
+            who = pa.array(row)
+            if names is None:
+                context = pa.array([spelled(c, k, centre) for c in code.tolist()], pa.string())
+            else:
+                context = names.take(pa.array(code))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(who) for i in range(len(keep))], pa.array(at, pa.int32()), context], names=[*keep, "pos", "context"])
+
+    return map_batches(rows, run, ", ".join(f"`{n}` {t}" for n, t in rows.drop("seq").dtypes) + (", " if keep else "") + "pos int, context string")
+
+
+def spelled(code: int, k: int, centre: str) -> str:
+    """The context of one code."""
+    letters = "".join(chr(ORDER[(code >> (2 * j)) & 3]) for j in range(2 * k - 1, -1, -1))
+    return letters[:k] + centre + letters[k:]
 
 
 def context_counts(seqs: DataFrame, *, k: int, centre: str = "A", marked: Column, weight: Column | None = None) -> DataFrame:
@@ -26,6 +68,29 @@ def context_counts(seqs: DataFrame, *, k: int, centre: str = "A", marked: Column
     return rows.groupBy("context").agg(F.sum("hit").alias("hit"), F.sum("nohit").alias("nohit"))
 
 
+def mark_counts(reads: DataFrame, *, k: int, centre: str = "A", seq_col: str = "seq", marks_col: str = "marks") -> DataFrame:
+    """context_counts() of rows (seq, marks array<int>), counted in each batch before any row leaves Python."""
+    if k > DENSE_K:
+        raise ValueError(f"k is {k}; at most {DENSE_K}, as a task counts all 4 ** 2k contexts in an array")
+    size = 4 ** (2 * k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            row, at, code = coded_centres(batch.column(0), k, centre)
+            lists = batch.column(1)
+            flat, n = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            marked = np.isin(row << 40 | at, np.repeat(np.arange(len(n)), n) << 40 | flat)
+            total += np.bincount(code, minlength=size)
+            hit += np.bincount(code[marked], minlength=size)
+        some = np.flatnonzero(total)
+        text = [spelled(c, k, centre) for c in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(hit[some]), pa.array((total - hit)[some])], names=["context", "hit", "nohit"])
+
+    found = map_batches(reads.select(seq_col, F.col(marks_col).cast("array<int>")), run, "context string, hit long, nohit long")
+    return found.groupBy("context").agg(F.sum("hit").alias("hit"), F.sum("nohit").alias("nohit"))
+
+
 def accessibility(counts: DataFrame) -> DataFrame:
     """(context, accessible_bp, total_bp, p_accessible) of counts by context, hit: protected; 0.5 without any."""
     total = F.col("hit") + F.col("nohit")

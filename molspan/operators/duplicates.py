@@ -5,58 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molspan.llm.minhash import cross_links
 from molspan.session import cut
 
 from .graph import components
+from .similarity import bucket_links, rows_of_band, set_keys
+from .skew import lookup
 
 
-def signature_bands(items: Column, bands: int, rows: int) -> Column:
-    """Keys of bands over seeded minima of an array of longs."""
-
-    def seeded(i: int):  # a lambda of two arguments would get the place in the array
-        return lambda x: F.xxhash64(x, F.lit(i))
-
-    minimum = [F.array_min(F.transform(items, seeded(i))) for i in range(bands * rows)]
-    return F.array(*[F.xxhash64(F.lit(b), *minimum[b * rows : (b + 1) * rows]) for b in range(bands)])
-
-
-def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int = 24, rows: int = 3, least: int = 10) -> DataFrame:
+def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int = 24, least: int = 10) -> DataFrame:
     """(id, cluster, size) of rows (id, group, items array<long>) with at least ``least`` items.
 
-    Rows with the same set are one row to the comparison. Members of a bucket are compared
-    in full with its pivot, the member that meets the most others; all other pairs that
-    could hold are compared in cross_links(), so no link between rows that share a bucket
-    is lost, whatever the bucket's size. Links are closed transitively. cluster is the
-    smallest id, size the number of rows in it.
+    Rows with the same set are one row to the comparison. Sets of a group that share one of
+    ``bands`` buckets are compared exactly (bucket_links()): no link between rows that share a
+    bucket is lost, whatever the bucket's size, and two sets just at the threshold share
+    none with a chance below 1e-6. Links are closed transitively. cluster is the smallest id,
+    size the number of rows in it. Null ids and null sets have no row.
     """
-    rows_in = sets.where(F.size("items") >= least).select("id", group, F.sort_array(F.array_distinct("items")).alias("items"))
-    rows_in = cut(rows_in.withColumn("same", F.sha2(F.concat_ws(",", F.col("items").cast("array<string>")), 256)))
-    first = rows_in.groupBy(group, "same").agg(F.min("id").alias("first"))
-    keyed = rows_in.select("id", group, "same").join(first.withColumnRenamed(group, "__g").withColumnRenamed("same", "__s"), (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("same") == F.col("__s")))
-    keyed = cut(keyed.select("id", "first"))
-    alone = rows_in.join(keyed.where("id = first").select("id"), "id", "left_semi")
-    keys = cut(alone.select("id", F.explode(signature_bands(F.col("items"), bands, rows)).alias("__b"), group).select("id", F.xxhash64("__b", group).alias("key")))
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keys.join(several, "key"))
-    degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    pivots = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("pivot"))
-    pairs = cut(members.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct())
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-    sets = cut(rows_in.join(wanted, "id", "left_semi").select("id", F.col("items").alias("shingles")))
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("others")), "pivot")
-    shared = F.size(F.array_intersect("shingles", "others"))
-    measured = both.select("id", "pivot", shared.cast("long").alias("shared"), (F.size("shingles") + F.size("others") - shared).cast("long").alias("either"))
     percent = round(100 * threshold, 6)
-    measured = cut(measured.withColumn("linked", 100 * F.col("shared") >= percent * F.col("either")))
-    direct = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    apart = measured.select("pivot", "id", F.when(F.col("linked"), 0.0).otherwise(F.greatest(1 - F.col("shared") / F.col("either"), F.lit(1.00001 - percent / 100))).alias("distance"))
-    links = direct.unionByName(cross_links(apart, sets, percent, dict(rows_in.dtypes)["id"]))
-    found = components(cut(links))
-    out = keyed.select("id", "first").join(found.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("cluster"))
+    kept = sets.where("id IS NOT NULL").select("id", F.xxhash64(group).alias("scope"), F.sort_array(F.array_distinct("items")).alias("items")).where(F.size("items") >= least)
+    rows_in = cut(kept.withColumn("same", F.xxhash64("scope", "items")))
+    # one row for each distinct set: hashes tell which rows may have a twin, the sets themselves which do
+    maybe = cut(rows_in.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    twins = lookup(rows_in, maybe, ["same"], "n").drop("n")
+    repeated = cut(twins.groupBy("same", "scope", "items").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    twins = lookup(twins, repeated, ["same", "scope", "items"], "n").select("id", "first")
+    twins = cut(twins.where("id <> first"))
+    alone = rows_in.join(twins.select("id"), "id", "left_anti")
+    rows = rows_of_band(threshold, bands)
+    keys = cut(set_keys(alone, bands, rows, scope="scope"))
+    sets_of = lambda wanted: rows_in.join(wanted, "id", "left_semi").select("id", "items")
+    found = components(cut(bucket_links(keys, sets_of, percent, rows)))
+    owners = rows_in.select("id").join(twins, "id", "left").withColumn("first", F.coalesce("first", "id"))
+    out = owners.join(found.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("cluster"))
     out = cut(out)
-    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return out.join(sizes, "cluster").select("id", "cluster", "size")
+    sizes = cut(out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
+    return lookup(out, sizes, ["cluster"], "size").select("id", "cluster", "size")
 
 
 def representatives(rows: DataFrame, by: str, best: list[Column], id_col: str) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molspan.functions import chain
 from molspan.functions import sequences as S
+from molspan.functions.marks import to_lists
 from molspan.operators import contexts, duplicates, intervals, reads, segments
-from molspan.session import cut
+from molspan.operators.similarity import mix64
+from molspan.session import cut, map_batches
 from molspan.streaming import flow
 
 from .bridge import CONTIGS, INTERVALS, MODEL, OBS, READS, coded_reads, seqs_sql, table
@@ -494,12 +500,23 @@ SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM g
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", words.alias("w"))
-    # the shifted copies stand outside the lambda, so the split isn't worked out again for each word
-    shifted = [F.slice("w", k, 1 << 30).alias(n) for k, n in ((2, "b"), (3, "c"))]
-    threes = F.filter(F.arrays_zip(F.col("w").alias("a"), *shifted), lambda x: x["c"].isNotNull())
-    return docs.select("id", "lang", F.array_distinct(F.transform(threes, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))).alias("items"))
+    """(id, lang, items): hashes of the distinct runs of three words of each document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.lower("text").alias("text"))
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            words = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(batch.column(2), ""), r"[ \t\n\x0B\f\r]+", " "), " "), " ")
+            flat = words.flatten().dictionary_encode()
+            each = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in flat.dictionary.to_pylist()], np.uint64)
+            n = np.asarray(words.value_lengths(), np.int64)
+            h, ends, lists = each[np.asarray(flat.indices)] if len(each) else np.zeros(0, np.uint64), np.cumsum(n), []
+            for a, b in zip((ends - n).tolist(), ends.tolist()):
+                x = h[a:b]
+                lists.append(np.unique(mix64(mix64(mix64(x[:-2]) + x[1:-1]) + x[2:]) if len(x) > 2 else x[:0]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), to_lists(lists, pa.int64())], names=["id", "lang", "items"])
+
+    return map_batches(docs, run, f"id {kind}, lang string, items array<long>")
 
 
 @query("q_ag12_minhash_clusters", CLUSTERS)

@@ -75,11 +75,11 @@ def fn10(spark, sf_dir):
     return md_of(spark, sf_dir).select("read_id", F.inline(alignment.substitutions(F.col("md"))))
 
 
-@query("q_fn11_stamp", f"WITH {seqs_sql()} SELECT read_id, CASE WHEN length(seq) > 9 THEN substr(seq, 1, 3) || 'Y' || substr(seq, 5, 4) || 'Y' || substr(seq, 10) ELSE seq END AS seq FROM (SELECT read_id, substr(seq, 1, 200) AS seq FROM seqs)")
+@query("q_fn11_stamp", f"WITH {seqs_sql()}, c AS (SELECT read_id, length(seq) AS n, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM seqs) SELECT read_id, string_agg(CASE WHEN i % 7 = 3 THEN 'Y' ELSE c END, '' ORDER BY i) AS seq FROM c GROUP BY read_id")
 def fn11(spark, sf_dir):
-    head = seqs_of(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 200))
-    marked = alignment.stamp(F.col("seq"), F.array(F.lit(3).cast("bigint"), F.lit(8).cast("bigint")), "Y")
-    return head.select("read_id", F.when(F.length("seq") > 9, marked).otherwise(F.col("seq")).alias("seq"))
+    whole = seqs_of(spark, sf_dir).where("seq <> ''")
+    every = F.filter(F.sequence(F.lit(0).cast("bigint"), F.length("seq").cast("bigint") - 1), lambda i: i % 7 == 3)
+    return whole.select("read_id", alignment.stamp(F.col("seq"), every, "Y").alias("seq"))
 
 
 # Second pass: blocks of 32 bases are the footprints
