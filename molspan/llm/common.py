@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molspan.session import cut, use_shared_folder  # noqa: F401
+from molspan.operators.skew import lookup  # noqa: F401
+from molspan.session import cut, give_back, map_batches, new_folder  # noqa: F401
 
 #: White space between words: U+0020 and U+0009 to U+000D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -22,8 +21,6 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python function works on at once (a longer text by itself).
 CHUNK_BYTES = 1 << 20
-#: Rows in an Arrow batch, at most: texts are long, and a batch is held whole in the JVM and in Python.
-BATCH_ROWS = 2_000
 
 
 def small(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,30 +48,70 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     yield from zip(bounds[:-1], bounds[1:])
 
 
-def give_back() -> None:
-    """Hands freed memory back to the system, as Python workers live on beside the JVM."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+#: Bits of a key filter, whatever the number of keys; it is kept in blocks of so many.
+FILTER_BITS, FILTER_BLOCK = 1 << 27, 1 << 17
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows (a session setting) and give_back() after each."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(setting))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of fixed size with the bit pmod(key, bits) set for each of keys (key long, evenly spread).
+
+    Only blocks of bits reach the driver, ``bits`` / 8 bytes in all, however many keys there
+    are. A key that is there is always found. Another is taken for one that is there with
+    a chance that grows with the number of keys, so the bitmap only spares later stages some
+    rows: they must be right with all of them.
+    """
+    block = min(FILTER_BLOCK, bits)
+    place = F.pmod(F.col("key"), F.lit(bits))
+    dealt = keys.select(F.floor(place / block).cast("int").alias("block"), F.pmod(place, F.lit(block)).cast("int").alias("bit")).distinct()
+
+    def pack(group: tuple, frame: pa.Table) -> pa.Table:
+        flags = np.zeros(block, np.uint8)
+        flags[np.asarray(frame.column("bit"))] = 1
+        return pa.table({"block": pa.array([group[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in dealt.groupBy("block").applyInArrow(pack, "block int, bits binary").collect():
+        out[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of keys are set."""
+    place = keys & (8 * len(bitmap) - 1)
+    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch
-                del batch
-                give_back()
 
-        yield from run(each())
+def sieve(rows: DataFrame, key: Column, bitmap: np.ndarray, held: bool = True) -> DataFrame:
+    """rows whose key's bit is set (held), or isn't."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
 
-    return df.mapInArrow(wrapped, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = may_hold(shared.value, np.asarray(batch.column(batch.num_columns - 1), np.int64))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(there == held))
+
+    return map_batches(rows.withColumn("__key", key), run, schema)
+
+
+def pick(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows whose columns ``on`` (never null in keys) occur in keys, which is written and has no repeated row.
+
+    Few keys are broadcast. With more, a key filter lets most other rows go before what is
+    left is joined by a shuffle.
+    """
+    if keys.count() <= limit:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    return sieve(rows, F.xxhash64(*on), key_filter(keys.select(F.xxhash64(*on).alias("key")))).join(keys, on, "left_semi")
+
+
+def drop(rows: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows whose columns ``on`` do not occur in keys: the rest of what pick() gives."""
+    if keys.count() <= limit:
+        return rows.join(F.broadcast(keys), on, "left_anti").select(*rows.columns)
+    bitmap = key_filter(keys.select(F.xxhash64(*on).alias("key")))
+    left = sieve(rows, F.xxhash64(*on), bitmap).join(keys, on, "left_anti").select(*rows.columns)
+    return sieve(rows, F.xxhash64(*on), bitmap, held=False).unionByName(left)
 
 
 class Batch:

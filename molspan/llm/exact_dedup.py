@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, cut, small, spread
+from .common import SPACE_RUN, cut, lookup, pick, spread
 
 SALTS = 32
 
@@ -42,25 +42,27 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Scale: digests are counted first, on narrow rows, with map-side sums. Only texts
     whose digest occurs again are moved, through combine(), to be compared in full. A
     digest with one content (all, short of a collision of SHA-256) gives its keep_id by
-    the digest alone; one with several is joined by its content.
+    the digest alone, in a lookup() that sends no hot digest to one task; one with several
+    is joined by its content.
     """
     text = normalised(F.col(text_col))
     full = docs.select(F.col(id_col).alias("id"), text.alias("content")).withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     narrow = cut(full.select("id", "digest"))
     repeated = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     repeated = cut(repeated.where("n > 1").select("digest"))
-    repeated = small(repeated, repeated.count())
-    groups = combine(full.join(repeated, "digest", "left_semi"), ["digest"], "content", salts)
+    groups = combine(pick(full, repeated, ["digest"]), ["digest"], "content", salts)
     groups = groups.select("digest", "content", "keep_id", "group_size", F.xxhash64("content").alias("content_hash"))
     # the contents of one digest, of which there is one
     slim = cut(groups.select("digest", "content_hash", "keep_id", "group_size"))
-    several = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
-    alone = slim.join(several, "digest", "left_anti").select("digest", "keep_id", "group_size")
-    out = narrow.join(alone, "digest", "left")
-    if not several.isEmpty():
-        clash = combine(full.join(several, "digest", "left_semi"), ["digest"], "content", salts)
-        rows = full.join(several, "digest", "left_semi").join(clash, ["digest", "content"], "left").select("digest", "id", "keep_id", "group_size")
-        out = narrow.join(alone, "digest", "left").join(several, "digest", "left_anti").unionByName(rows)
+    several = cut(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest"))
+    if several.isEmpty():
+        out = lookup(narrow, slim.select("digest", "keep_id", "group_size"), ["digest"], "group_size", "left")
+    else:
+        alone = cut(slim.join(several, "digest", "left_anti").select("digest", "keep_id", "group_size"))
+        out = lookup(narrow.join(several, "digest", "left_anti"), alone, ["digest"], "group_size", "left")
+        rows = full.join(several, "digest", "left_semi")
+        clash = cut(combine(rows, ["digest"], "content", salts))
+        out = out.unionByName(lookup(rows, clash, ["digest", "content"], "group_size", "left").select("digest", "id", "keep_id", "group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     out = out.withColumn("keep_id", keep)
     kept = F.col("keep_id").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +38,18 @@ NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:
 SPACE = re.compile("[" + SPACES + "]+")
 RIGHTS = re.compile(r"^(?:©|\(c\) \d|copyright\b|all rights reserved)", re.I)
 
-#: Lines in a window, and characters that a window needs for a surge.
-WINDOW, SURGE = 3, 80
-
+#: Lines in a window, and characters that a window needs for a surge; also this share of the page's best window.
+WINDOW, SURGE, OF_BEST = 3, 80, 1 / 8
+#: Empty lines that the edge of an article, or of something that a tag or name tells of, leaves.
+GAP = 3
+#: Weight of text that a name, a form or a page's header tells of, and of what lies outside a page's articles.
+NAMED_WEIGHT, OUTSIDE_WEIGHT = 0.02, 0.05
 
 FIRM, SOFT = 1, 2
 
 
 def is_boilerplate(tag: str, attributes: str, in_main: bool) -> int:
-    """0, FIRM, or SOFT for a form, header or mere name, which is no reason to cut out what holds the page's text.
+    """0; FIRM for elements that are never the article, which are cut; SOFT for a form, header or mere name, which weigh less.
 
     A name is a whole class or id, or a compound of NAMES and PLACES alone.
     """
@@ -67,31 +72,39 @@ def is_boilerplate(tag: str, attributes: str, in_main: bool) -> int:
     return SOFT * soft
 
 
-def page_lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, in article or main, element) for each block; ("", 0, ...) where something was cut out.
+class Line(NamedTuple):
+    """A block's text, its characters outside links, how much each weighs, whether it is in an article, and its element.
+
+    element: a number for the outermost article or main element around it, else for the
+    innermost element that can hold one.
+    """
+
+    text: str
+    plain: int
+    weight: float
+    in_main: bool
+    element: int
+
 
-    element: a number for the innermost open element that isn't closed by itself, as a
-    paragraph is.
+EMPTY = Line("", 0, 0.0, False, -1)
 
-    Blocks are what block elements divide. Character references are decoded after the
-    markup is gone, once.
 
-    spared: places of tags that cut nothing out. The page is read again with those SOFT
-    ones that hold a main element, all of its articles, or most of its text outside links.
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page: what block elements divide, and GAP empty ones wherever the markup tells of an edge.
+
+    Character references are decoded after the markup is gone, once. Each tag is looked at
+    once, and what closes a raw element is looked for once, so the time grows with the page.
     """
-    out: list[tuple[str, int, bool, int]] = []
+    out: list[Line] = []
     text: list[str] = []
-    linked = main = cut_out = link = 0
-    stack: list[tuple[str, bool, bool]] = []
-    unlinked = mains = articles = 0  # so far, in what is cut out too
-    soft: dict[int, list[int]] = {}  # by place of the tag: these three where it opens, then what it holds
-    pending: list[tuple[int, int]] = []  # (depth in the stack, place) of open soft ones
-    path, opened = [0], 0  # numbers of open elements
+    linked = main = cut_out = soft = link = 0
+    stack: list[tuple[str, bool, int]] = []
+    open_: Counter[str] = Counter()
+    path, opened, article = [0], 0, 0  # numbers of open elements, and of the outermost article
+    shuts: dict[str, int] = {}
 
     def say(piece: str) -> None:
-        nonlocal linked, unlinked
-        if not link:
-            unlinked += len(piece.strip(SPACES))
+        nonlocal linked
         if piece and not cut_out:
             text.append(piece)
             if link:
@@ -102,29 +115,54 @@ def page_lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[st
         if text:
             line = SPACE.sub(" ", html.unescape("".join(text))).strip(SPACES)
             if line:
-                out.append((line, max(0, len(line) - linked), main > 0, path[-1]))
+                out.append(Line(line, max(0, len(line) - linked), NAMED_WEIGHT**soft, main > 0, article if main else path[-1]))
             text.clear()
             linked = 0
 
     def gap() -> None:
         end_block()
-        out.extend([("", 0, main > 0, -1)] * WINDOW)
-
-    def close(k: int) -> None:
-        nonlocal main, cut_out
-        while len(stack) > k:
-            name, is_main, is_cut = stack.pop()
-            if pending and pending[-1][0] == len(stack):
-                place = pending.pop()[1]
-                soft[place] = [now - then for now, then in zip((unlinked, mains, articles), soft[place])]
+        out.extend([EMPTY] * GAP)
+
+    def push(tag: str, is_main: bool, kind: int) -> None:
+        nonlocal main, cut_out, soft, opened, article
+        if is_main or kind:
+            gap()
+        stack.append((tag, is_main, kind))
+        open_[tag] += 1
+        if tag in HOLDERS:
+            opened += 1
+            path.append(opened)
+        if is_main and not main:
+            opened += 1
+            article = opened
+        main += is_main
+        cut_out += kind == FIRM
+        soft += kind == SOFT
+
+    def close(tag: str | None) -> None:
+        """Closes what is open, up to and with the innermost ``tag`` (None: everything)."""
+        nonlocal main, cut_out, soft
+        while stack:
+            name, is_main, kind = stack.pop()
+            open_[name] -= 1
             if name in HOLDERS:
                 path.pop()
-            if is_main or is_cut:
+            if is_main or kind:
                 gap()
             main -= is_main
-            cut_out -= is_cut
-
-    at, low = 0, None
+            cut_out -= kind == FIRM
+            soft -= kind == SOFT
+            if name == tag:
+                break
+
+    def shut(tag: str, at: int) -> int:
+        """Where the next closing tag of a raw element begins; the page's end if there is none."""
+        if shuts.get(tag, -1) < at:
+            found = re.compile(f"</{re.escape(tag)}", re.I | re.A).search(page, at)
+            shuts[tag] = found.start() if found else len(page)
+        return shuts[tag]
+
+    at = 0
     while True:
         lt = page.find("<", at)
         if lt < 0:
@@ -155,105 +193,104 @@ def page_lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[st
             say(" ")
             continue
         if tag in RAW and not closing:
-            low = page.lower() if low is None else low
-            stop = -1 if attributes.endswith("/") and tag in ("svg", "math") else low.find(f"</{tag}", at) if len(low) == len(page) else page.find(f"</{tag}", at)
-            if stop >= 0:
-                shut = page.find(">", stop)
-                at = len(page) if shut < 0 else shut + 1
-            elif tag in ("script", "style"):
-                at = len(page)
+            if not (attributes.endswith("/") and tag in ("svg", "math")):
+                stop = shut(tag, at)
+                if stop < len(page):
+                    end = page.find(">", stop)
+                    at = len(page) if end < 0 else end + 1
+                elif tag in ("script", "style"):
+                    at = len(page)
             continue
         if tag in INLINE:
             if tag == "a":
                 link = 0 if closing else 1
-            if not closing and attributes and not cut_out and is_boilerplate(tag, attributes, main > 0):
-                gap()
-                # an inline element is cut out at its name, whatever it holds
-                stack.append((tag, False, True))
-                cut_out += 1
+            if not closing and attributes and not cut_out and (kind := is_boilerplate(tag, attributes, main > 0)):
+                push(tag, False, kind)
             elif closing and stack and stack[-1][0] == tag:
-                close(len(stack) - 1)
+                close(tag)
             elif not closing and stack and stack[-1][0] == tag:
-                stack.append((tag, False, False))
+                push(tag, False, 0)
             continue
         end_block()
-        if tag in VOID or tag in SELF_CLOSING and not is_boilerplate(tag, attributes, main > 0) and not any(x[0] == tag for x in stack):
-            continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if open_[tag]:
+                close(tag)
             continue
-        is_main = tag in MAIN or 'role="main"' in attributes
         kind = is_boilerplate(tag, attributes, main > 0)
-        is_cut = kind > 0 and lt not in spared
-        if kind == SOFT and is_cut:
-            soft[lt] = [unlinked, mains, articles]
-            pending.append((len(stack), lt))
-        mains += is_main and tag != "article"
-        articles += tag == "article"
-        if is_main or is_cut:
-            gap()
-        stack.append((tag, is_main, is_cut))
-        if tag in HOLDERS:
-            opened += 1
-            path.append(opened)
-        main += is_main
-        cut_out += is_cut
+        if tag in VOID or tag in SELF_CLOSING and not kind and not open_[tag]:
+            continue
+        push(tag, tag in MAIN or 'role="main"' in attributes, kind)
     end_block()
-    close(0)
-    if not spared:
-        holders = frozenset(k for k, (text_in, mains_in, articles_in) in soft.items() if mains_in or articles and articles_in == articles or 2 * text_in > unlinked)
-        if holders:
-            return page_lines(page, holders)
+    close(None)
+    return out
+
+
+def stretches(weights: list[float], window: int) -> list[tuple[int, int, float]]:
+    """(surge, dive, best window) of each stretch of lines in which the window's sum, taken forward from each line, stays above 0."""
+    sums = [0.0]
+    for w in weights:
+        sums.append(sums[-1] + w)
+    filled = [0]
+    for w in weights:
+        filled.append(filled[-1] + (w > 0))
+    n, out, i = len(weights), [], 0
+    while i < n:
+        far = min(i + window, n)
+        if filled[far] == filled[i]:
+            i += 1
+            continue
+        j, best = i, 0.0
+        while j < n and filled[far := min(j + window, n)] > filled[j]:
+            best = max(best, sums[far] - sums[j])
+            j += 1
+        out.append((i, j, best))
+        i = j
     return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between the first surge and the last dive of the text's distribution.
-
-    The value of a line is how many characters it and the next ``window`` - 1 hold outside
-    links. What menus, forms, adverts and the like left are lines of no characters, so the
-    value falls to 0 beside them. A surge is where it rises from 0 to a stretch that
-    reaches ``surge`` characters (or the most that any stretch has, if that is less), a
-    dive where it is 0 again. If the page marks an article, lines outside it hold nothing.
-    Between them every line stays that isn't such a rest, however short; so do lines of
-    the elements that hold what surged.
+    """The lines between surges and dives of the distribution of text over lines.
+
+    A line weighs its characters outside links, times NAMED_WEIGHT for each name, form or
+    header that it lies in, and times OUTSIDE_WEIGHT if the page has articles and it is in
+    none. The distribution at a line is what it and the next ``window`` - 1 weigh. It
+    surges where it leaves 0 for a stretch that reaches ``surge`` (or the page's best
+    window, if that is less) and OF_BEST of the best window, and dives where it is 0
+    again: among lines of links, and at the empty lines that the edges of articles and of
+    what tags and names tell of leave. Such stretches, from their first to their last line
+    that weighs anything, are the main text; so are all lines whose text weighs no less
+    between the first and the last of them, or, if they weigh anything, of an element that
+    surged, however short. In an article, and in headings, a line of links
+    alone weighs 1, so that it stays.
     """
     if not page:
         return ""
     lines = page_lines(page)
-    marked = any(text and in_main for text, _, in_main, _ in lines)
-    gone = ("", 0, False, -1)
-    if marked:
-        lines = [x if x[2] else gone for x in lines]
+    if any(x.in_main for x in lines):
+        lines = [x if x.in_main or not x.text else x._replace(weight=x.weight * OUTSIDE_WEIGHT) for x in lines]
     else:
-        lines = [gone if len(x[0]) < 200 and RIGHTS.match(x[0]) else x for x in lines]
-    # a line of links alone counts a little, so that a short one inside the article stays
-    size = [max(n, 1) if text else 0 for text, n, _, _ in lines]
-    sums = [0]
-    for n in size:
-        sums.append(sums[-1] + n)
-    value = [sums[min(i + window, len(size))] - sums[i] for i in range(len(size))]
-    stretches, i = [], 0
-    while i < len(size):
-        if not value[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(size) and value[j]:
-            j += 1
-        stretches.append((i, j, max(value[i:j])))
-        i = j
-    if not stretches:
+        lines = [x._replace(weight=x.weight * NAMED_WEIGHT) if len(x.text) < 200 and RIGHTS.match(x.text) else x for x in lines]
+    size = [max(x.plain, int(x.in_main and x.text != "")) * x.weight for x in lines]
+    found = stretches(size, window)
+    if not found:
         return ""
-    enough = 1 if marked else min(surge, max(p for _, _, p in stretches))
-    high = [(a, b) for a, b, peak in stretches if peak >= enough]
-    elements = {lines[k][3] for a, b in high for k in range(a, b) if lines[k][0]}
-    inside = [k for k, x in enumerate(lines) if x[0] and x[3] in elements]
-    first, last = min(high[0][0], inside[0]), max(high[-1][1], inside[-1] + 1)
-    return "\n".join(x[0] for x in lines[first:last] if x[0])
+    best = max(peak for *_, peak in found)
+    high = [(a, b) for a, b, peak in found if peak >= max(min(surge, best), OF_BEST * best)]
+    taken: set[int] = set()
+    surged: dict[int, float] = {}  # by element: the least weight that has surged
+    for a, b in high:
+        while not size[a]:  # a window looks ahead
+            a += 1
+        while not size[b - 1]:
+            b -= 1
+        weight = max(lines[k].weight for k in range(a, b))
+        inside = [k for k in range(a, b) if lines[k].text and lines[k].weight >= weight]
+        taken.update(inside)
+        for k in inside:
+            surged[lines[k].element] = min(weight, surged.get(lines[k].element, weight))
+    full = max(surged.values())
+    first, last = min(taken), max(taken)
+    return "\n".join(x.text for k, x in enumerate(lines) if x.text and (k in taken or size[k] and x.weight >= surged.get(x.element, 2.0) or first < k < last and x.weight >= full))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -15,33 +15,35 @@ from .common import Batch, map_batches, ranges, slices
 
 #: Bytes of context, at most.
 ORDER = 4
-#: Bounds of the training sample: documents and bytes of each language, and languages.
+#: Bounds of the training sample: documents and code points of each language, and languages.
 SAMPLE_DOCS = 128
 SAMPLE_BYTES = 1 << 20
 LANGUAGES = 1000
 #: Bytes of text scored at once.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 
 
-def events(data: np.ndarray, length: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """A key for each byte of the words in ``data`` (of the given lengths), and of a space after each.
+def events(texts: Batch, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each byte of the texts' words and of one space after each word, and how many each text has.
 
-    The key is the byte below its context: the ``order`` bytes before it, reaching back to
-    the space before its word and padded with 0 beyond.
+    The key is the byte below its context: the ``order`` bytes before it in the text, where
+    each run of white space is one space; one stands before the first word, and 0 beyond.
     """
-    size = length + 1 + order
-    ends = np.cumsum(size)
-    line = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    begin = ends - size
-    line[begin + order - 1] = 32  # the space before the word
-    inside = np.repeat(begin + order, length) + ranges(length)
-    line[inside] = data
-    line[ends - 1] = 32
-    at = np.repeat(begin + order, length + 1) + ranges(length + 1)
+    counts = np.diff(texts.first)
+    doc = np.repeat(np.arange(texts.n), counts)
+    begin = np.cumsum(texts.length + 1) - texts.length - 1 + order * (doc + 1)
+    line = np.zeros(int(texts.length.sum()) + len(doc) + order * texts.n, np.uint64)
+    inside = np.repeat(begin, texts.length) + ranges(texts.length)
+    line[inside] = texts.data[texts.solid]
+    line[begin + texts.length] = 32
+    size = np.bincount(doc, texts.length + 1, texts.n).astype(np.int64)
+    start = np.cumsum(size) - size + order * np.arange(1, texts.n + 1)
+    line[(start - 1)[size > 0]] = 32
+    at = np.repeat(start, size) + ranges(size)
     key = np.zeros(len(at), np.uint64)
     for back in range(order, -1, -1):
         key = (key << np.uint64(8)) | line[at - back]
-    return key
+    return key, size
 
 
 class Model:
@@ -100,19 +102,21 @@ class Model:
         return cost
 
 
-def train(texts: list[str], order: int = ORDER, limit: int = SAMPLE_BYTES) -> Model:
-    batch = Batch(pa.array(texts, pa.string()), lower=True)
-    length = batch.length[: np.searchsorted(np.cumsum(batch.length), limit) + 1]
-    return Model(events(batch.data[batch.solid][: int(length.sum())], length, order), order)
+def train(texts: list[str], order: int = ORDER) -> Model:
+    return Model(events(Batch(pa.array(texts, pa.string()), lower=True), order)[0], order)
 
 
 def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order_by: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> dict[str, Model]:
     """A model for each label of the rows (null labels and texts: not used).
 
     Of each language the sample_docs rows with the smallest hash are taken, and of those
-    the first sample_bytes bytes of words. A threshold on the hash, from counts by label,
-    leaves about that many rows before they are ranked, so a hot language isn't gathered.
+    the first sample_bytes code points of text in all. A threshold on the hash, from counts by
+    label, leaves about that many rows before they are ranked, so a hot language isn't
+    gathered; texts are cut to the bound before they reach the driver. order: 1 to 7 bytes.
+    More than LANGUAGES labels: ValueError.
     """
+    if not 1 <= order <= 7:
+        raise ValueError("a key holds a byte and 1 to 7 before it")
     place = F.xxhash64(order_by if order_by is not None else F.col(text_col), F.lit(9))
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1))).orderBy(lang_col).limit(LANGUAGES + 1).collect()}
@@ -126,21 +130,29 @@ def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     unit = F.shiftrightunsigned(place, 33).cast("double") / float(1 << 31)
     few = rows.where(unit < table[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
-    sample = few.withColumn("rank", rank).where(F.col("rank") <= sample_docs).collect()
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("rank", rank).where(F.col("rank") <= sample_docs).withColumn("room", F.lit(sample_bytes) - before).where("room > 0")
+    sample = few.select("lang", "rank", F.substring(F.col("text"), F.lit(1), F.col("room").cast("int")).alias("text")).collect()
     by: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])):
         by.setdefault(r["lang"], []).append(r["text"])
-    return {lang: train(texts, order, sample_bytes) for lang, texts in sorted(by.items())}
+    return {lang: train(texts, order) for lang, texts in sorted(by.items())}
 
 
 def predict(docs: DataFrame, models: dict[str, Model], *, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Adds lang_pred and score to the columns of docs.
 
     The label with the shortest code for the whole text (ties: the first in code point
-    order); score is its share if each label weighs 2 to the minus code length. Code
-    lengths are sums over words, so each distinct word of a chunk is coded once. Text
-    without a letter, or null, and any text if there is no model: "und", score 0.
+    order); score is its share if each label weighs 2 to the minus code length. Every byte
+    of the text is coded after the bytes before it, A-Z as lower case and each run of white
+    space as one space; equal bytes after equal contexts of a chunk are worked out once.
+    Text without a letter, or null, and any text if there is no model: "und", score 0.
+    Repeated rows are scored alike. New columns get ``prefix``; one that docs has already
+    raises ValueError. Empty input: no rows.
     """
+    clash = {f"{prefix}lang_pred", f"{prefix}score"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs has columns named {sorted(clash)}; pass a prefix")
     names, order = sorted(models), next((m.order for m in models.values()), ORDER)
     shared = docs.sparkSession.sparkContext.broadcast([models[n] for n in names])  # bounded by the sample
 
@@ -156,14 +168,13 @@ def predict(docs: DataFrame, models: dict[str, Model], *, text_col: str = "text"
         best, share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         words = Batch(texts, lower=True)
         if names and len(words.start):
-            codes, distinct = words.codes()
-            ends = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
-            raw = np.frombuffer(distinct.buffers()[2], np.uint8)[: ends[-1]]
-            length = np.diff(ends)
-            key, back = np.unique(events(raw, length, order), return_inverse=True)
-            begin = np.concatenate(([0], np.cumsum(length + 1)[:-1]))
-            doc = np.repeat(np.arange(words.n), np.diff(words.first))
-            bits = np.stack([np.bincount(doc, np.add.reduceat(m.bits(key)[back], begin)[codes], words.n) for m in shared.value])
+            key, size = events(words, order)
+            coded = pa.array(key).dictionary_encode()
+            each, back = np.asarray(coded.dictionary), np.asarray(coded.indices)
+            some = np.flatnonzero(size)
+            bits = np.zeros((len(names), words.n))
+            for k, m in enumerate(shared.value):
+                bits[k, some] = np.add.reduceat(m.bits(each)[back], (np.cumsum(size) - size)[some])
             best = bits.argmin(0)
             share = 1 / np.exp2(np.maximum(bits.min(0) - bits, -1000)).sum(0)
         lang = np.array([*names, "und"], object)[np.where(letters & bool(names), best, len(names))]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, slices, small
-from .exact_dedup import combine
+from .common import cut, key_filter, lookup, map_batches, may_hold, sieve, slices
 
 #: Lines that the rolling hash spans.
 WINDOW = 2
@@ -61,7 +61,7 @@ def chunks(text: str | None, least: int = 2, pairs: bool = False, **shape: int)
             yield a, b + 1 - a, b"\n".join(lines[a : b + 1])
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, window: int = WINDOW, mean: int = MEAN_LINES, counts: bool = False, pairs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, window: int = WINDOW, mean: int = MEAN_LINES, counts: bool = False, pairs: bool = False, digest_bits: int = 64) -> DataFrame:
     """docs with repeated chunks of lines taken out of text_col (counts: plus n_lines, n_removed_lines).
 
     Lines are what \\n splits. A chunk of at least ``least`` lines that has a word and whose
@@ -77,70 +77,86 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null text: null, 0 lines. An empty text has one (empty) line. Null ids come after all
     others. Rows alike in id and text are one document and are treated alike; rows with
     one id and several texts are documents of their own. Columns n_lines and
-    n_removed_lines of docs are replaced if counts is set. Empty input: no rows.
-
-    Scale: digests of chunks are counted with map-side sums. Only chunks whose digest occurs
-    again are moved, through combine(), which compares their bytes in every stage. A
-    digest with several contents is left alone. Lists of places are joined to the texts
-    by id, which moves each text once.
+    n_removed_lines of docs are replaced if counts is set; those whose names begin with
+    two underscores may not be there. Empty input: no rows.
+
+    Scale: places are narrow rows; digests are counted with map-side sums, and hot ones are
+    looked up without a task of their own. Bytes leave the scan only for digests that occur
+    again, or that a bitmap of fixed size takes for such; they are grouped by digest and
+    content once, combined in the map tasks first, so a digest of several contents (which
+    is then told apart by its content) is seen. Only texts that lose something, or that
+    another bitmap takes for such, are moved to their lists of places. digest_bits: bits of a
+    digest, fewer only to test such digests.
     """
     shape = {"least": least, "window": window, "mean": mean, "pairs": pairs}
-    kind = dict(docs.dtypes)[id_col]
+    kind, context = dict(docs.dtypes)[id_col], docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    short = (1 << digest_bits) - 1
 
-    def scan(with_content: bool):
+    def scan(bitmap=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b in slices(batch.column(2)):
                     found = [(i, *c) for i, t in enumerate(batch.column(2)[a:b].to_pylist()) for c in chunks(t, **shape)]
+                    digest = np.array([xxhash.xxh3_64_intdigest(x[3]) & short for x in found], np.uint64).view(np.int64)
+                    if bitmap is not None:
+                        some = np.flatnonzero(may_hold(bitmap.value, digest))
+                        found, digest = [found[k] for k in some.tolist()], digest[some]
                     at = pa.array([x[0] for x in found], pa.int64())
-                    made = [batch.column(0)[a:b].take(at), batch.column(1)[a:b].take(at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([xxhash.xxh3_128_digest(x[3]) for x in found], pa.binary())]
+                    made = [batch.column(0)[a:b].take(at), batch.column(1)[a:b].take(at), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array(digest)]
                     names = ["id", "mark", "line", "lines", "digest"]
-                    if with_content:
+                    if bitmap is not None:
                         made.append(pa.array([x[3] for x in found], pa.binary()))
                         names.append("content")
                     yield pa.RecordBatch.from_arrays(made, names=names)
 
         return run
 
-    schema = f"id {kind}, mark long, line int, lines int, digest binary"
-    found = cut(map_batches(rows, scan(False), schema))
-    again = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
-    n_again = again.count()
-    places = cut(found.join(small(again, n_again), "digest", "left_semi"))
-    holders = cut(places.select("id", "mark").distinct())
-    whole = rows.join(small(holders, holders.count()), rows["id"].eqNullSafe(holders["id"]) & (rows["mark"] == holders["mark"]), "left_semi")
-    texts = map_batches(whole, scan(True), schema + ", content binary").join(small(again, n_again), "digest", "left_semi")
+    schema = f"id {kind}, mark long, line int, lines int, digest long"
+    found = cut(map_batches(rows, scan(), schema))
+    again = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    places = cut(lookup(found, again, ["digest"], "n"))
+    again_bits = context.broadcast(key_filter(again.select(F.col("digest").alias("key"))))
+    contents = map_batches(rows, scan(again_bits), schema + ", content binary")
+    kinds = contents.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"))
+    clash = cut(kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n")).where("contents > 1").join(again.select("digest"), "digest", "left_semi"))
+
     place = F.struct(F.col("id").isNull().alias("late"), "id", "mark", "line")
-    groups = combine(texts.select("digest", "content", place.alias("id")), ["digest"], "content")
-    alike = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("first"), F.max("group_size").alias("size")).where("contents = 1 AND size > 1")
-    alike = cut(alike.select("digest", "first"))
-    gone = places.join(small(alike, n_again), "digest").where(place != F.col("first"))
+    one = places if clash.isEmpty() else lookup(places, clash.select("digest", F.col("n").alias("__n"), F.lit(True).alias("__clash")), ["digest"], "__n", "left").where("__clash IS NULL").drop("__n", "__clash")
+    first = cut(one.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    gone = lookup(one.select("digest", "id", "mark", "line", "lines"), first, ["digest"], "size").drop("size", "digest")
+    if not clash.isEmpty():
+        several = cut(lookup(contents, clash.select("digest", "n"), ["digest"], "n").drop("n"))
+        first = cut(several.groupBy("digest", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+        gone = gone.unionByName(lookup(several, first, ["digest", "content"], "size").drop("size", "digest", "content"))
     here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
-    gone = gone.where(~(here & (F.col("line") < F.col("first.line") + F.col("lines"))))
+    gone = gone.where((place != F.col("first")) & ~(here & (F.col("line") < F.col("first.line") + F.col("lines"))))
     gone = cut(gone.groupBy("id", "mark").agg(F.collect_set(F.struct("line", "lines")).alias("__gone")).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone"))
 
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed_lines")]
     here = docs.select(*columns, F.xxhash64(text_col).alias("__own"))
-    joined = here.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*columns, "__gone")
+    lossy = key_filter(gone.select(F.xxhash64("__id", "__mark").alias("key")))
+    key = F.xxhash64(id_col, "__own")
+    joined = sieve(here, key, lossy).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*columns, "__gone")
     out_schema = ", ".join(f"`{n}` {t}" for n, t in joined.drop("__gone").dtypes) + ", n_lines int, n_removed_lines int" * counts
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = batch.schema.get_field_index(text_col)
-            texts, lists = batch.column(where).to_pylist(), batch.column(len(columns)).to_pylist()
+            texts = batch.column(where).to_pylist()
+            lists = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else [None] * batch.num_rows
             new, total, lost = [], [], []
             for text, taken in zip(texts, lists):
-                lines = [] if text is None else text.split("\n")
                 out = {k for x in taken or () for k in range(x["line"], x["line"] + x["lines"])}
-                new.append(text if not out else "\n".join(x for k, x in enumerate(lines) if k not in out))
-                total.append(len(lines))
+                new.append(text if not out else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out))
+                total.append(0 if text is None else text.count("\n") + 1)
                 lost.append(len(out))
             made = [batch.column(k) if k != where else pa.array(new, pa.string()) for k in range(len(columns))]
             more = [pa.array(total, pa.int32()), pa.array(lost, pa.int32())] if counts else []
             yield pa.RecordBatch.from_arrays([*made, *more], names=[*columns, *(["n_lines", "n_removed_lines"] if counts else [])])
 
-    return map_batches(joined, rewrite, out_schema)
+    rest = sieve(here, key, lossy, held=False).select(*columns)
+    return map_batches(joined, rewrite, out_schema).unionByName(map_batches(rest, rewrite, out_schema) if counts else rest)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

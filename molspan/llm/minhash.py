@@ -5,38 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molspan.operators.graph import components
+from molspan.operators.similarity import bucket_links, mix64, rows_of_band
 
-from .common import Batch, cut, map_batches, ranges, slices, small
+from .common import Batch, cut, lookup, map_batches, pick, ranges, slices
 
 #: Bands of a signature.
 BANDS = 32
-#: Chance that two texts just at the threshold meet in no band, at most.
-MISS = 1e-6
-#: Members in one block of an exact comparison.
-BLOCK = 512
-#: Columns of an incidence matrix that are multiplied at once.
-COLUMNS = 4096
-
-
-def rows_of_band(threshold: float, bands: int = BANDS, miss: float = MISS) -> int:
-    """The longest band with which texts at the threshold are missed by a chance of at most ``miss``."""
-    rows = 1
-    while (1 - threshold ** (rows + 1)) ** bands <= miss:
-        rows += 1
-    return rows
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def shuffle32(x: np.ndarray) -> np.ndarray:
@@ -127,8 +107,8 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, width: int, thres
     return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, n_shingles long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles) of the documents in wanted (id)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int, once: bool = False) -> DataFrame:
+    """(id, items) of the documents in wanted (id). once: rows alike in id and text give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,89 +116,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
                 values, counts = shingles(batch.column(1)[a:b], width)
                 bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["id", "shingles"])
-
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(small(wanted, wanted.count()), "id", "left_semi")
-    return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, shingles array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["id", "items"])
 
-
-def similar(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of sets, not both in ``left``, of at least ``percent`` similarity; of each group, a tree.
-
-    The sizes of all intersections are a product of the incidence matrix with itself.
-    """
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), size)
-    often = np.bincount(column) > 1
-    renamed = np.cumsum(often) - 1
-    keep = often[column]
-    row, column = row[keep], renamed[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    shared = np.zeros((n, n), np.float32)  # exact below 2**24 shingles; larger sums go through float64 below
-    if size.max() >= 1 << 24:
-        shared = shared.astype(np.float64)
-    for a in range(0, int(often.sum()), COLUMNS):
-        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
-        part = np.zeros((n, COLUMNS), shared.dtype)
-        part[row[lo:hi], column[lo:hi] - a] = 1
-        shared += part @ part.T
-    shared = shared.astype(np.int64)
-    close = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & ~(left[:, None] & left[None, :])
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    tree = []
-    for x, y in np.argwhere(np.triu(close, 1)).tolist():
-        p, q = top(x), top(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            tree.append((x, y))
-    return tree
-
-
-def cross_links(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among documents that share a pivot, where not both are linked with it.
-
-    pairs: (pivot, id, distance): exact Jaccard distances. Distances obey the triangle
-    inequality, so two documents whose distances to the pivot differ by more than the
-    limit can't be linked: only equal and neighbouring bins of the distance meet. A bin of
-    many members is dealt to blocks, and each pair of blocks is compared in full.
-    """
-    limit = 1 - percent / 100
-    bins = pairs.withColumn("bin", F.greatest(F.lit(0), F.ceil(F.col("distance") / limit - 1e-9) - 1).cast("int"))
-    counted = bins.groupBy("pivot", "bin").agg(F.count(F.lit(1)).alias("n"))
-    told = counted.groupBy("pivot").agg(F.sum("n").alias("members"), F.max("bin").alias("last"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("n") / block).cast("int")))).alias("blocks"))
-    told = cut(told.where("members > 1 AND last > 0"))
-    told = small(told, told.count())
-    placed = bins.join(told, "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("bin")]).cast("int"))
-    # the blocks that this one meets: in its own bin, the one before and the one after
-    meets = F.flatten(F.transform(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1), lambda b: F.when(F.coalesce(F.col("blocks")[b], F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col("blocks")[b] - 1), lambda s: F.struct(b.alias("bin"), s.alias("salt")))).otherwise(F.array().cast("array<struct<bin:int,salt:int>>"))))
-    meets = F.filter(meets, lambda m: (F.col("bin") > 0) | (m["bin"] > 0))
-    own = F.struct("bin", "salt")
-    rows = placed.withColumn("other", F.explode(meets)).select("pivot", "id", (F.col("bin") == 0).alias("near"), F.least(own, F.col("other")).alias("lo"), F.greatest(own, F.col("other")).alias("hi"))
-    rows = rows.join(sets, "id")
-    keyed = rows.withColumn("task", F.xxhash64("pivot", "lo", "hi"))
-    total = placed.count()
-    keyed = keyed.withColumn("slot", F.pmod("task", F.lit(max(1, total * 3 // block))))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, part in frame.groupby(["pivot", "task"], sort=False):
-            if len(part) > 1:
-                ids = part["id"].to_numpy()
-                tree = similar([np.asarray(x, np.int64) for x in part["shingles"]], part["near"].to_numpy(), percent)
-                found += [(ids[x], ids[y]) for x, y in tree]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return keyed.select("slot", "pivot", "task", "id", "near", "shingles").groupBy("slot").applyInPandas(compare, f"a {kind}, b {kind}")
+    rows = pick(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, ["id"])
+    if once:
+        rows = rows.dropDuplicates(["id", "text"])
+    return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, items array<long>")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
@@ -230,40 +133,28 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     (shingles as 64-bit hashes). component_id: the smallest id that can be reached.
 
     Texts with equal sets are one class, and its smallest id stands for it. Signatures of
-    classes are banded; of each band's bucket every member is compared with the bucket's
-    pivot, the member that meets the most others. Members that are linked with it are
-    joined by that. All other pairs of a bucket are compared in cross_links(), so no link
-    between texts that share a bucket is lost, whatever the bucket's size, and no
+    classes are banded; bucket_links() compares what shares a bucket on full sets, so no
+    link between texts that share a bucket is lost, whatever the bucket's size, and no
     bucket's pairs are written out. Two texts at the threshold share no bucket with a
-    chance below MISS.
+    chance below 1e-6 (again at each of the two finer levels to which crowds are dealt).
 
     Null ids: no component of their own: they take that of an equal text, else null, and
     stay in that case. Rows with one id and several texts are one node. Empty input: no
     rows. Other columns are not read.
     """
     rows = cut(signatures(docs, id_col=id_col, text_col=text_col, width=width, threshold=percent / 100, bands=bands))
-    kind = dict(rows.dtypes)["id"]
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    classes = cut(classes)
-    narrow = rows.select("id", "n_shingles", "digest").join(small(classes, classes.count()), "digest", "left")
-    copies = narrow.where("first IS NOT NULL AND NOT id <=> first").select("id")
-    keyed = rows.where("id IS NOT NULL AND digest IS NOT NULL").join(copies.distinct(), "id", "left_anti")
-    keys = keyed.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keys.join(shared, "key"))
-    degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    pivots = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("pivot"))
-    pairs = cut(members.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct())
-    wanted = cut(pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct())
-    sets = cut(full_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width))
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("others")), "pivot")
-    common = F.size(F.array_intersect("shingles", "others"))
-    measured = both.select("id", "pivot", common.cast("long").alias("common"), (F.size("shingles") + F.size("others")).cast("long").alias("sizes"))
-    measured = cut(measured.withColumn("union", F.col("sizes") - F.col("common")).withColumn("linked", F.col("common") * 100 >= F.col("union") * percent))
-    direct = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    apart = measured.select("pivot", "id", F.when(F.col("linked"), 0.0).otherwise(F.greatest(1 - F.col("common") / F.col("union"), F.lit(1.00001 - percent / 100))).alias("distance"))
-    links = cut(direct.unionByName(cross_links(apart, sets, percent, kind)))
+    classes = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    joined = lookup(rows, classes, ["digest"], "n", "left")
+    alone = joined.where("id IS NOT NULL AND digest IS NOT NULL AND (first IS NULL OR id = first)")
+    keys = cut(alone.select("id", F.explode("bands").alias("key")))
+    twice = not rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL").isEmpty()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return full_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width, once=twice)
+
+    links = cut(bucket_links(keys, sets_of, percent, rows_of_band(percent / 100, bands)))
     found = components(links)
+    narrow = joined.select("id", "n_shingles", "first")
     out = narrow.withColumn("first", F.coalesce("first", "id")).join(found.withColumnRenamed("node", "first"), "first", "left")
     out = out.withColumn("component_id", F.coalesce("component", "first"))
     kept = F.col("component_id").isNull() | F.col("id").eqNullSafe(F.col("component_id"))

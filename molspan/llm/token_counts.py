@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Batch, map_batches, slices
+from .common import SPACE_RUN, Batch, map_batches, slices
 
 #: The mark that unigram vocabularies put before a word.
 META = "▁"
@@ -18,6 +19,7 @@ UNKNOWN_PENALTY = 10.0
 #: Distinct words whose counts a Python worker keeps.
 CACHED_WORDS = 250_000
 CHUNK = 8 << 20
+SPLIT = re.compile(SPACE_RUN)
 
 
 @dataclass
@@ -32,6 +34,8 @@ class Vocabulary:
     unknown: int = 0
     byte_fallback: bool = True
     fuse_unknown: bool = True
+    #: what an unknown character scores; None: UNKNOWN_PENALTY less than the worst of all pieces
+    unknown_score: float | None = None
 
     @staticmethod
     def from_piece_model(path: str) -> Vocabulary:
@@ -41,7 +45,8 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = lambda i: not (model.is_control(i) or model.is_unused(i) or model.is_byte(i) or model.is_unknown(i))
         pieces = [(model.id_to_piece(i), float(model.get_score(i)) if normal(i) else -1e9) for i in range(model.vocab_size())]
-        return Vocabulary(pieces, model.unk_id())
+        # such a model takes the worst of its normal pieces
+        return Vocabulary(pieces, model.unk_id(), unknown_score=min((s for _, s in pieces if s > -1e9), default=0.0) - UNKNOWN_PENALTY)
 
 
 class Counter:
@@ -64,7 +69,8 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p, _ in usable if len(p) == 1}
-        self.unknown_score = min((s for _, s in usable), default=0.0) - UNKNOWN_PENALTY
+        worst = min((s for _, s in vocabulary.pieces), default=0.0)
+        self.unknown_score = worst - UNKNOWN_PENALTY if vocabulary.unknown_score is None else vocabulary.unknown_score
         # a word can be counted by itself if no piece goes on from a word into the next mark
         self.by_word = not any(META in p.lstrip(META) for p, _ in usable)
         self.known: dict[bytes, int] = {}
@@ -110,7 +116,8 @@ class Counter:
         """Counts of whole texts: each run of white space is one mark, none at the ends but one before the text."""
         batch = Batch(texts)
         if not self.by_word:
-            return np.array([self.count(META + META.join(t.split())) if t and t.split() else 0 for t in texts.to_pylist()], np.int64)
+            split = [[w for w in SPLIT.split(t or "") if w] for t in texts.to_pylist()]
+            return np.array([self.count(META + META.join(words)) if words else 0 for words in split], np.int64)
         if not len(batch.start):
             return np.zeros(batch.n, np.int64)
         codes, words = batch.codes()
