@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molspan.llm import line_dedup, minhash, mixing, packing, repetition
-from molspan.llm.common import small
-from molspan.session import use_shared_folder
+from molspan.llm.common import drop
+from molspan.session import cut, new_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +25,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
     found = minhash.near_dedup(docs)
     dropped = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    dropped = minhash.cut(dropped)
-    return docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
+    return drop(docs, cut(dropped), ["doc_id"])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage's rows are written to the shared folder and read again."""
-    use_shared_folder(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. Each stage's rows are written to the shared folder, which goes with the driver, and read again."""
+    folder = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

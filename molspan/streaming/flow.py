@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspan.session import use_shared_folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    use_shared_folder(spark)
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from molspan.session import new_folder
 
 
 def drain(spark: SparkSession, folder: str, name: str, schema: str, transform: Callable[[DataFrame], DataFrame], *, mode: str = "append", files_per_trigger: int = 8) -> DataFrame:
@@ -22,7 +16,7 @@ def drain(spark: SparkSession, folder: str, name: str, schema: str, transform: C
     Batches hold whole files, files_per_trigger at most; offsets and results are in the
     shared folder, so a stopped stream goes on where it was.
     """
-    out, offsets = shared_path(spark, "stream-out"), shared_path(spark, "stream-offsets")
+    out, offsets = new_folder(spark, "stream-out"), new_folder(spark, "stream-offsets")
     rows = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     made = transform(rows)
     query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).outputMode(mode).trigger(availableNow=True).start()
