@@ -170,6 +170,23 @@ def density_edge(rate: np.ndarray, centre: int, bound: int, way: int, profile: P
     return int(path[k]), abs(outer - inner)
 
 
+def placed_nucs(hit: np.ndarray, opp: np.ndarray, footprints: list[tuple[int, int]], profile: Profile, least: int = 85) -> Iterator[tuple[int, int, float, int, int]]:
+    """(start, stop, llr, left, right) of the nucleosomes that the template places in footprints (start, stop) of one molecule."""
+    odds, rate = matched_filter(hit, opp, profile), local_rate(hit * opp, opp)
+    for a, b in footprints:
+        b = min(b, len(hit))
+        first = max(a + 20, 0)
+        if b - a < least or b - 20 <= first:
+            continue
+        centres = [first + k for k in spaced_peaks(odds[first : b - 20], profile.apart)]
+        reach = profile.half + 37
+        fences = [c - reach for c in centres[:1]] + [(x + y) // 2 for x, y in zip(centres, centres[1:])] + [c + reach for c in centres[-1:]]
+        for left, c, right in zip(fences, centres, fences[1:]):
+            (start, la), (stop, ra) = density_edge(rate, c, max(0, left), -1, profile), density_edge(rate, c, min(len(rate) - 1, right), 1, profile)
+            if stop - start >= least:
+                yield start, stop, float(odds[c]), la, ra
+
+
 def radial_recall(reads: DataFrame, profile: Profile, *, id_col: str = "read_id", least: int = 85) -> DataFrame:
     """Nucleosomes (id, start, stop, llr, left_amb, right_amb) placed in footprints by the radial template.
 
@@ -178,28 +195,14 @@ def radial_recall(reads: DataFrame, profile: Profile, *, id_col: str = "read_id"
     """
     kind = dict(reads.dtypes)[id_col]
 
-    def place(hit: np.ndarray, opp: np.ndarray, footprints: list[dict]) -> Iterator[tuple]:
-        odds, rate = matched_filter(hit, opp, profile), local_rate(hit * opp, opp)
-        for f in footprints:
-            a, b = f["start"], min(f["stop"], len(hit))
-            first = max(a + 20, 0)
-            if b - a < least or b - 20 <= first:
-                continue
-            centres = [first + k for k in spaced_peaks(odds[first : b - 20], profile.apart)]
-            reach = profile.half + 37
-            fences = [c - reach for c in centres[:1]] + [(x + y) // 2 for x, y in zip(centres, centres[1:])] + [c + reach for c in centres[-1:]]
-            for left, c, right in zip(fences, centres, fences[1:]):
-                (start, la), (stop, ra) = density_edge(rate, c, max(0, left), -1, profile), density_edge(rate, c, min(len(rate) - 1, right), 1, profile)
-                if stop - start >= least:
-                    yield start, stop, float(odds[c]), la, ra
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             who, out = [], []
             for i in range(batch.num_rows):
                 if not all(batch.column(k)[i].is_valid for k in (1, 2, 3)) or not len(batch.column(1)[i]):
                     continue
-                for x in place(np.asarray(batch.column(1)[i].values, float), np.asarray(batch.column(2)[i].values, float), batch.column(3)[i].as_py()):
+                spans = [(f["start"], f["stop"]) for f in batch.column(3)[i].as_py()]
+                for x in placed_nucs(np.asarray(batch.column(1)[i].values, float), np.asarray(batch.column(2)[i].values, float), spans, profile, least):
                     who.append(i)
                     out.append(x)
             columns = list(zip(*out)) or [()] * 5
