@@ -101,6 +101,24 @@ def to_lists(found: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), kind))
 
 
+def numbers(lists: pa.ListArray) -> list[np.ndarray | None]:
+    """Lists of numbers as arrays."""
+    n, flat = pc.list_value_length(lists).to_pylist(), np.asarray(lists.flatten(), np.int64)
+    out, at = [], 0
+    for k in n:
+        out.append(None if k is None else flat[at : at + k])
+        at += k or 0
+    return out
+
+
+def schema_fields(ddl: str) -> list[pa.Field]:
+    """Arrow fields of a schema, worked out on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    return [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl).fields]
+
+
 def marks(mm: Column, ml: Column, seq: Column, reverse: Column, *, mode: str, threshold: int = 125, codes: str | None = None) -> Column:
     """array<int>: kept_marks() of each row; empty without tags."""
 

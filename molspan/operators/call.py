@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molspan.functions.chain import Model, accessible_chance, decode
-from molspan.functions.encoding import NUMBER, alphabet, ambiguous, mark_mask, n_symbols, observe, resolved
-from molspan.functions.marks import bytes_of, conversion, is_chimera, kept_marks, read_changes, upper
+from molspan.functions.chain import Model, accessible_chance, decode, flat_lists
+from molspan.functions.encoding import NUMBER, ambiguous, mark_mask, n_symbols, observe, resolved
+from molspan.functions.marks import bytes_of, conversion, is_chimera, kept_marks, numbers, read_changes, schema_fields, upper
 from molspan.functions.spans import NONE, Calls, Evidence, Nucs, Spans, clipped, edge_bytes, gaps, llr_bytes, merged, overlaps, recalled, refined
 from molspan.session import map_batches
 
@@ -62,6 +62,10 @@ class Options:
     drop_chimeras: bool = True
     sources: tuple[str, ...] = SOURCES
     codes: str | None = None
+    #: take footprints and patches from the tags ns, nl, as and al instead of the chain
+    tagged: bool = False
+    #: whether those tags are in the direction the molecule was read, or as the sequence is stored
+    molecular: bool = True
 
 
 # Kernels on a line
@@ -114,6 +118,7 @@ class Structure:
     msps: Spans
     footprint_score: np.ndarray | None = None
     msp_score: np.ndarray | None = None
+    footprint_q: np.ndarray | None = None
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first + self.length, at, "right")
@@ -156,6 +161,30 @@ def structure(codes: np.ndarray, length: np.ndarray, model: Model, ratios: tuple
     return found
 
 
+def tagged_structure(columns: dict[str, list], length: np.ndarray, codes: np.ndarray, ratios: tuple[np.ndarray, np.ndarray, np.ndarray], options: Options) -> Structure:
+    """structure() of what the reads' tags say; intervals that leave the read are cut to it, empty ones go."""
+    step, hit, opp = ratios
+    first = np.cumsum(length) - length
+    found: dict[str, list[tuple[int, int, int]]] = {"ns": [], "as": []}
+    quality = []
+    for i, (a, n) in enumerate(zip(first.tolist(), length.tolist())):
+        turn = options.molecular and bool(columns["is_reverse"][i])
+        for start, size, q in (("ns", "nl", "nq"), ("as", "al", "aq")):
+            values = columns[q][i] or []
+            rows = []
+            for j, (s, m) in enumerate(zip(columns[start][i] or [], columns[size][i] or [])):
+                s = n - s - m if turn else s
+                lo, hi = max(s, 0), min(s + m, n)
+                if hi > lo:
+                    rows.append((a + lo, a + hi, values[j] if j < len(values) else 0))
+            found[start] += sorted(rows)
+        quality.append(columns["nq"][i] is not None)
+    nucs, msps = (np.array(found[k], np.int64).reshape(-1, 3) for k in ("ns", "as"))
+    out = Structure(first, length, Evidence(step[codes], hit[codes], opp[codes]), Spans(nucs[:, 0], nucs[:, 1]), Spans(msps[:, 0], msps[:, 1]))
+    out.footprint_q = nucs[:, 2] if any(quality) else None
+    return out
+
+
 @dataclass
 class Called:
     """Nucleosomes, patches and binding calls on a line; nq of the nucleosomes is None where nothing scored them."""
@@ -176,7 +205,7 @@ def fuse(s: Structure, options: Options) -> Called:
     """Binding calls and, with ``recall``, nucleosomes with refined edges, tiled without overlaps."""
     none = Calls(NONE, NONE, NONE, np.zeros(0), NONE, NONE, NONE)
     plain = s.footprints
-    q = unit_bytes(s.footprint_score) if s.footprint_score is not None else np.zeros(len(plain.start), np.int64)
+    q = s.footprint_q if s.footprint_q is not None else unit_bytes(s.footprint_score) if s.footprint_score is not None else np.zeros(len(plain.start), np.int64)
     zero = np.zeros(len(plain.start), np.int64)
     nucs, msps = Nucs(plain.start, plain.stop, q, zero, zero), s.msps
     if options.recall:
@@ -204,7 +233,7 @@ def fuse(s: Structure, options: Options) -> Called:
     short = nucs.spans().size() < options.unify
     nucs = nucs.where(~(short & overlaps(nucs.spans(), bound.spans())))
     if not options.recall:
-        return Called(nucs, options.scores, False, msps, None if s.msp_score is None else unit_bytes(s.msp_score), bound)
+        return Called(nucs, options.scores or s.footprint_q is not None, False, msps, None if s.msp_score is None else unit_bytes(s.msp_score), bound)
     if options.circular:  # tiled on the circle, once projected
         return Called(nucs, True, True, msps, None, bound)
     return Called(*tiled(s, nucs, options), None, bound)
@@ -353,16 +382,20 @@ def tiled_circle(nucs: list[tuple], length: int, options: Options) -> tuple[list
 # The operator
 
 
-def symbol_ratios(model: Model, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbol_ratios(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol: log odds of protected against accessible (0 for no target), whether it is a hit, and a target."""
     e = np.log(np.maximum(np.array(model.emission), 1e-30))
-    if e.shape[1] != n_symbols(k):
-        raise ValueError(f"the model has {e.shape[1]} symbols; contexts of {k} bases on both sides need {n_symbols(k)}")
-    code, top = np.arange(n_symbols(k)), alphabet(k)
+    top = e.shape[1] // 2 - 1
+    code = np.arange(e.shape[1])
     hit, opp = code < top, (code < top) | (code > top) & (code < 2 * top + 1)
     return np.where(opp, e[0] - e[1], 0.0), hit, opp
 
 
+def check_symbols(model: Model, k: int) -> None:
+    if len(model.emission[0]) != n_symbols(k):
+        raise ValueError(f"the model has {len(model.emission[0])} symbols; contexts of {k} bases on both sides need {n_symbols(k)}")
+
+
 def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model, second: Model, options: Options) -> list[dict[str, object]]:
     """One dictionary of OUTPUT for each read; those with a reason have nothing else."""
     out: list[dict[str, object]] = [{"skip_reason": r} for r in reasons]
@@ -381,10 +414,17 @@ def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model
         length = 3 * length
     reverse = np.array([bool(x) for x in chosen["is_reverse"]], bool)
     codes = observe(NUMBER[data], length, mark_mask(length, marks), mode=options.mode, k=options.k, trim=options.trim, reverse=reverse, strand=strands)
-    s = structure(codes, length, model, symbol_ratios(second, options.k), options)
+    if options.tagged:
+        s = tagged_structure(chosen, length, codes, symbol_ratios(second), options)
+    else:
+        s = structure(codes, length, model, symbol_ratios(second), options)
     found = fuse(s, options)
     rows = by_molecule(s, found)
+    if options.tagged:  # a read without marks stays as it is
+        some = [i if len(m) else -1 for i, m in zip(some, marks)]
     for i, n, r, (nucs, msps, bound) in zip(some, length.tolist(), reverse.tolist(), rows):
+        if i < 0:
+            continue
         if options.circular:
             n //= 3
             nucs, msps, bound = (on_circle(x, n) for x in (nucs, msps, bound))
@@ -400,6 +440,10 @@ def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model
             legacy = sorted((*p, x[2][0]) for x in molecular([(a, m, q) for a, m, q in msps], n, r) for p in pieces(x[0], x[1], n))
             made["aq"] = [q for _, _, q in legacy]
         out[i] |= made | {"tf": calls, "skip_reason": None}
+    if options.tagged:
+        for i, r in enumerate(out):
+            if "tf" not in r:
+                r |= {t: columns[t][i] for t in GIVEN} | {"skip_reason": r["skip_reason"] or "no_marks"}
     return out
 
 
@@ -423,7 +467,8 @@ def by_molecule(s: Structure, found: Called) -> list[tuple[list, list, list]]:
     return out
 
 
-READ = {"seq": "string", "mm": "string", "ml": "array<int>", "is_reverse": "boolean", "st": "string", "md": "string", "cigar": "array<struct<op:int,n:int>>", "ref_seq": "string"}
+GIVEN = ("ns", "nl", "nq", "as", "al", "aq", "ma", "ma_aq", "an")
+READ = {"seq": "string", "mm": "string", "ml": "array<int>", "is_reverse": "boolean", "st": "string", "md": "string", "cigar": "array<struct<op:int,n:int>>", "ref_seq": "string"} | {t: "string" if t in ("ma", "an") else "array<int>" for t in GIVEN}
 
 
 def reason_column(reads: DataFrame, options: Options) -> F.Column:
@@ -462,12 +507,13 @@ def call(reads: DataFrame, model: Model, options: Options = Options(), *, second
     names = [x.strip().split(" ")[0].strip("`") for x in OUTPUT.replace(CALL, "x").split(", ")]
     kept = [c for c in reads.columns if c not in names]
     flags = F.coalesce(F.col("flag"), F.lit(0)).bitwiseAND(16) != 0 if "flag" in reads.columns and "is_reverse" not in reads.columns else None
-    asked = [(flags if c == "is_reverse" and flags is not None else F.col(c) if c in reads.columns else F.lit(None)).cast(t).alias(f"__{c}") for c, t in READ.items()]
+    there = {c for c in reads.columns if c not in GIVEN or options.tagged}
+    asked = [(flags if c == "is_reverse" and flags is not None else F.col(c) if c in there else F.lit(None)).cast(t).alias(f"__{c}") for c, t in READ.items()]
     rows = reads.select(*kept, *asked, reason_column(reads, options).alias("__reason"))
     schema = ", ".join(f"`{n}` {t}" for n, t in reads.select(*kept).dtypes) + ", " + OUTPUT
     second = model if second is None else second
-    symbol_ratios(second, options.k)  # a model that doesn't fit is told at once
-    symbol_ratios(model, options.k)
+    for m in (model, second):  # one that doesn't fit is told at once
+        check_symbols(m, options.k)
 
     def safely(columns: dict[str, list], reasons: list[str | None]) -> list[dict[str, object]]:
         try:
@@ -481,23 +527,6 @@ def call(reads: DataFrame, model: Model, options: Options = Options(), *, second
     return map_batches(rows, lambda batches: in_parts(batches, len(kept), safely, fields), schema)
 
 
-def numbers(lists: pa.ListArray) -> list[np.ndarray | None]:
-    """Lists of numbers as arrays."""
-    n, flat = pc.list_value_length(lists).to_pylist(), np.asarray(lists.flatten(), np.int64)
-    out, at = [], 0
-    for k in n:
-        out.append(None if k is None else flat[at : at + k])
-        at += k or 0
-    return out
-
-
-def schema_fields(ddl: str) -> list[pa.Field]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    return [pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl).fields]
-
-
 def in_parts(batches: Iterator[pa.RecordBatch], n_kept: int, work: Callable[[dict[str, list], list[str | None]], list[dict[str, object]]], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
     """Runs work() on some rows at a time, by bases; the first n_kept columns go along."""
     for whole in batches:
@@ -515,3 +544,49 @@ def in_parts(batches: Iterator[pa.RecordBatch], n_kept: int, work: Callable[[dic
 def apply(reads: DataFrame, model: Model, options: Options = Options(), **more: Model) -> DataFrame:
     """call() with the chain alone: footprints and patches, no second pass."""
     return call(reads, model, replace(options, recall=False, bind=False), **more)
+
+
+def recall_tagged(reads: DataFrame, model: Model, options: Options = Options()) -> DataFrame:
+    """call() as a second pass over reads whose tags ns, nl, as and al (nq) say where footprints and patches are.
+
+    A read without marks, or that is passed by, keeps its tags, and has a reason. With
+    ``recall`` off nucleosomes stay as they are, with their qualities, but for short ones that
+    a binding call overlaps.
+    """
+    if options.circular:
+        raise ValueError("a second pass is over reads as lines")
+    return call(reads, model, replace(options, tagged=True))
+
+
+def estimate_repeat(reads: DataFrame, model: Model, options: Options = Options(), *, n: int = 3000, second: Model | None = None) -> int:
+    """The nucleosome repeat length of the first n reads that are called; 185 if they show fewer than 300 neighbours."""
+    from .intervals import repeat_length, spacing
+
+    some = call(reads.limit(n), model, replace(options, recall=True, bind=False, repeat=0), second=second).where("size(ns) > 1")
+    rows = some.withColumn("__id", F.monotonically_increasing_id()).select(F.col("__id").alias("read_id"), F.inline(F.arrays_zip("ns", "nl")))
+    gaps = spacing(rows.select("read_id", F.col("ns").cast("long").alias("start"), (F.col("ns") + F.col("nl")).cast("long").alias("stop")), ["read_id"])
+    return int(repeat_length(gaps).first()["nrl"])
+
+
+def call_codes(rows: DataFrame, model: Model, options: Options = Options(), *, second: Model | None = None, id_col: str = "read_id", codes_col: str = "codes") -> DataFrame:
+    """(id, kind, start, stop, llr, opps, q, el, er) of rows (id, codes array<int>): the plan from symbols on, not on circles.
+
+    kind: nuc, msp or tf; llr and opps of binding calls only. A null or empty list has no rows.
+    """
+    kind = dict(rows.dtypes)[id_col]
+    ratios = symbol_ratios(model if second is None else second)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, length = flat_lists(batch.column(1))
+            s = structure(np.asarray(codes, np.int64), length, model, ratios, options)
+            found = fuse(s, options)
+            who = np.concatenate([s.owner(x.start) for x in (found.nucs, found.msps, found.bound)])
+            n, m, b = len(found.nucs.start), len(found.msps.start), found.bound
+            start, stop = (np.concatenate((getattr(found.nucs, f), getattr(found.msps, f), getattr(b, f))) - s.first[who] for f in ("start", "stop"))
+            less = lambda values, kind: pa.concat_arrays([pa.nulls(n + m, kind), pa.array(values, kind)])  # noqa: E731, B023
+            quality = [pa.array(np.concatenate((x, np.zeros(m, np.int64), y)), pa.int32()) for x, y in zip(found.nucs[2:], (llr_bytes(b.llr), edge_bytes(b.left), edge_bytes(b.right)))]
+            kinds = pa.array(["nuc"] * n + ["msp"] * m + ["tf"] * len(b.start), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), kinds, pa.array(start, pa.int64()), pa.array(stop, pa.int64()), less(b.llr, pa.float64()), less(b.opps, pa.int64()), *quality], names=[id_col, "kind", "start", "stop", "llr", "opps", "q", "el", "er"])
+
+    return map_batches(rows.select(id_col, F.col(codes_col).cast("array<int>")), run, f"`{id_col}` {kind}, kind string, start long, stop long, llr double, opps long, q int, el int, er int")

@@ -48,14 +48,58 @@ def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 
 
 def bed12(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Blocks (*by, start, stop, score) of each molecule as one text line of twelve fields.
+    """Blocks (*by, chrom, strand, start, stop, score) of each molecule as one text line of twelve fields.
 
-    The score is the mean, cut to a whole number; blocks are sorted by start.
+    Contig and strand are the molecule's. The score is the mean, cut to a whole number; blocks
+    are sorted by start.
     """
     item = F.struct("start", "stop")
-    g = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("b"), F.avg("score").cast("int").alias("score"))
+    g = rows.groupBy(*by, "chrom", "strand").agg(F.sort_array(F.collect_list(item)).alias("b"), F.avg("score").cast("int").alias("score"))
     lo, hi = F.col("b")[0]["start"], F.element_at("b", -1)["stop"]
     text = lambda f: F.array_join(F.transform("b", lambda x: f(x).cast("string")), ",")
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
-    fields = [F.lit("chr1"), lo, hi, name, F.col("score"), F.lit("+"), lo, hi, F.lit("0"), F.size("b"), text(lambda x: x["stop"] - x["start"]), text(lambda x: x["start"] - lo)]
+    fields = [F.col("chrom"), lo, hi, name, F.col("score"), F.col("strand"), lo, hi, F.lit("0"), F.size("b"), text(lambda x: x["stop"] - x["start"]), text(lambda x: x["start"] - lo)]
     return g.select(*by, F.array_join(F.array(*[f.cast("string") for f in fields]), "\t").alias("line"))
+
+
+def footprint_report(reads: DataFrame) -> DataFrame:
+    """One row of what footprints and patches of molecules look like: (measure, value), by measure.
+
+    reads: (read_length, ns, nl, as, al[, nq, aq]), one row a molecule; medians and quartiles
+    are exact. Gaps are between neighbouring footprints by start, where they don't touch.
+    """
+    n = F.size("ns")
+    by_start = F.array_sort(F.arrays_zip("ns", "nl"))
+    gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(by_start, i)["ns"] - F.get(by_start, i - 1)["ns"] - F.get(by_start, i - 1)["nl"]), lambda g: g > 0)
+    covered = F.aggregate("nl", F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.col("read_length"), F.lit(0))
+    lone = lambda c: F.array(c.cast("double"))
+    lists = {"read_length": lone(F.col("read_length")), "footprint_size": F.col("nl").cast("array<double>"), "gap_size": gaps.cast("array<double>"), "msp_size": F.col("al").cast("array<double>"), "footprints_per_read": F.when(n > 0, lone(n)).otherwise(F.array().cast("array<double>")), "msps_per_read": lone(F.size("al")), "footprint_coverage": F.when(n > 0, lone(covered)).otherwise(F.array().cast("array<double>"))}
+    for tag, name in (("nq", "footprint_score"), ("aq", "msp_score")):
+        if tag in reads.columns:
+            lists[name] = F.coalesce(F.col(tag).cast("array<double>"), F.array().cast("array<double>"))
+    rows = reads.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("ns", "nl", "as", "al")})
+    values = rows.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, lists)), F.array(*lists.values()))).alias("measure", "v")).select("measure", F.explode("v").alias("v"))
+    return summary(values, "v", ["measure"]).orderBy("measure")
+
+
+def histogram(rows: DataFrame, value: str, width: float, by: list[str] | None = None) -> DataFrame:
+    """(*by, bin_start, n): counts of a column in bins of a width."""
+    at = (F.floor(F.col(value) / width) * width).alias("bin_start")
+    return rows.where(F.col(value).isNotNull()).groupBy(*(by or []), at).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report_text(report: DataFrame) -> str:
+    """footprint_report() as text: one block a measure."""
+    out = []
+    for r in report.collect():  # a dozen rows
+        out.append(f"{r['measure']}: n {r['n']}")
+        out += [f"  {c}: {r[c]:.4f}" for c in ("mean", "std", "least", "q25", "median", "q75", "greatest") if r[c] is not None]
+    return "\n".join(out) + "\n"
+
+
+def quick_summary(rows: DataFrame, value: str, by: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """summary() with quartiles that are near (a rank is off by rows / accuracy at most), for columns of very many values."""
+    v = F.col(value)
+    q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+    found = rows.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), q.alias("q"), F.max(v).alias("greatest"))
+    return found.select(*(by or []), "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "greatest")

@@ -275,11 +275,14 @@ def iv29(spark, sf_dir):
     return intervals.repeat_length(intervals.spacing(intervals_of(spark, sf_dir), ["read_id"]))
 
 
-@query("q_snk04_bed12", f"""WITH {INTERVALS} SELECT read_id, concat_ws(chr(9), 'chr1', min(start), max_by_start, read_id, CAST(trunc(avg(score)) AS INT), '+', min(start), max_by_start, '0', count(*),
-  string_agg(CAST(stop - start AS VARCHAR), ',' ORDER BY start, stop), string_agg(CAST(start - lo AS VARCHAR), ',' ORDER BY start, stop)) AS line
-FROM (SELECT *, min(start) OVER (PARTITION BY read_id) AS lo, last_value(stop) OVER (PARTITION BY read_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS max_by_start FROM iv) GROUP BY read_id, max_by_start""")
+@query("q_snk04_bed12", f"""WITH {INTERVALS}, pl AS (SELECT o_orderkey AS read_id, 'chr' || (o_custkey % 7) AS chrom, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE '+' END AS strand FROM orders),
+iw AS (SELECT iv.*, chrom, strand, min(start) OVER (PARTITION BY iv.read_id) AS lo, last_value(stop) OVER (PARTITION BY iv.read_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hi FROM iv JOIN pl ON pl.read_id = iv.read_id)
+SELECT read_id, concat_ws(chr(9), chrom, lo, hi, read_id, CAST(trunc(avg(score)) AS INT), strand, lo, hi, '0', count(*),
+  string_agg(CAST(stop - start AS VARCHAR), ',' ORDER BY start, stop), string_agg(CAST(start - lo AS VARCHAR), ',' ORDER BY start, stop)) AS line FROM iw GROUP BY read_id, chrom, strand, lo, hi""")
 def snk04(spark, sf_dir):
-    return reads.bed12(intervals_of(spark, sf_dir), ["read_id"])
+    strand = F.when(F.col("o_orderstatus") == "F", "-").otherwise("+")
+    places = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("chr"), F.col("o_custkey") % 7).alias("chrom"), strand.alias("strand"))
+    return reads.bed12(intervals_of(spark, sf_dir).join(places, "read_id"), ["read_id"])
 
 
 @query("q_fn29_annotations", f"""WITH {INTERVALS} SELECT read_id, concat_ws(';', '600', 'nuc.Q:' || string_agg(CASE WHEN kind = 'nuc' THEN (start + 1) || '-' || (stop - start) END, ',' ORDER BY start, stop),
@@ -475,12 +478,6 @@ def src18(spark, sf_dir):
     return reads.quota(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 40, 6)
 
 
-@query("q_flt11_chimera")
-def flt11(spark, sf_dir):
-    marks = obs_of(spark, sf_dir).where("opp = 1").select("read_id", "pos", F.col("hit").alias("forward"))
-    return duplicates.chimeras(marks, ["read_id"])
-
-
 @query("q_ag15_representative", "SELECT o_custkey AS di, arg_max(o_orderkey, row(o_totalprice, -o_orderkey)) AS representative, count(*) AS n FROM orders GROUP BY 1")
 def ag15(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("di"), F.col("o_orderkey").alias("id"), "o_totalprice")
