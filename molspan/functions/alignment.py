@@ -4,26 +4,39 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the format: kinds of operations that go on in the read, and in the reference.
-IN_READ = (0, 1, 4, 7, 8)
-IN_REFERENCE = (0, 2, 3, 7, 8)
+from .marks import IN_READ, IN_REFERENCE, MD_PART, read_changes, to_lists
 
 
 def aligned_blocks(ops: Column) -> Column:
-    """array<struct<q, r, n>> of an array<struct<op, n>>: read and reference starts of what lies base on base."""
-    blocks = F.array().cast("array<struct<q:bigint,r:bigint,n:bigint>>")
-    zero = F.lit(0).cast("bigint")
+    """array<struct<q, r, n>> of an array<struct<op, n>>: read and reference starts of what lies base on base. Null for null."""
+
+    @F.arrow_udf("array<struct<q:bigint,r:bigint,n:bigint>>")
+    def walk(ops: pa.Array) -> pa.Array:
+        flat, count = ops.flatten(), np.asarray(pc.fill_null(pc.list_value_length(ops), 0), np.int64)
+        op, n = np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), np.int64)
+        read, reference = np.isin(op, IN_READ), np.isin(op, IN_REFERENCE)
+        ends = np.concatenate(([0], np.cumsum(count)))
+        row = np.repeat(np.arange(len(count)), count)
+        out = []
+        for step in (np.where(read, n, 0), np.where(reference, n, 0)):
+            sums = np.concatenate(([0], np.cumsum(step)))
+            out.append(sums[:-1] - sums[ends[row]])
+        kept = read & reference & (n > 0)
+        found = np.bincount(row[kept], minlength=len(count))
+        values = pa.StructArray.from_arrays([pa.array(x[kept]) for x in (*out, n)], names=["q", "r", "n"])
+        return nullable_lists(ops, values, found)
+
+    return walk(ops.cast("array<struct<op:int,n:bigint>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = x["n"].cast("bigint")
-        q, r = x["op"].isin(*IN_READ), x["op"].isin(*IN_REFERENCE)
-        one = F.array(F.struct(acc["q"].alias("q"), acc["r"].alias("r"), n.alias("n")))
-        return F.struct((acc["q"] + F.when(q, n).otherwise(zero)).alias("q"), (acc["r"] + F.when(r, n).otherwise(zero)).alias("r"), F.when(q & r & (n > 0), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(ops, F.struct(zero.alias("q"), zero.alias("r"), blocks.alias("out")), step, lambda acc: acc["out"])
+def nullable_lists(like: pa.Array, values: pa.Array, count: np.ndarray) -> pa.ListArray:
+    """Lists of so many of the values each; null where ``like`` is."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values, mask=pc.is_null(like)) if like.null_count else pa.ListArray.from_arrays(ends, values)
 
 
 def reference_of(blocks: Column, position: Column) -> Column:
@@ -45,28 +58,39 @@ def reference_block(blocks: Column, start: Column, n: Column) -> Column:
 
 
 def substitutions(md: Column) -> Column:
-    """array<struct<r, base>> of an MD text: reference offset and reference base of each substitution."""
-    parts = F.regexp_extract_all(F.upper(md), F.lit(r"(\d+|\^[A-Z]+|[A-Z])"))
-    none = F.array().cast("array<struct<r:bigint,base:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        number, gap = x.try_cast("bigint"), x.startswith("^")
-        ahead = F.when(number.isNotNull(), number).when(gap, F.length(x) - 1).otherwise(1).cast("bigint")
-        one = F.array(F.struct(acc["r"].alias("r"), x.alias("base")))
-        return F.struct((acc["r"] + ahead).alias("r"), F.when(number.isNull() & ~gap, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("r"), none.alias("out")), step, lambda acc: acc["out"])
+    """array<struct<r, base>> of an MD text: reference offset and reference base of each substitution. Null for null."""
+
+    @F.arrow_udf("array<struct<r:bigint,base:string>>")
+    def walk(md: pa.Array) -> pa.Array:
+        at, base, count = [], [], []
+        for text in md.to_pylist():
+            here = found = 0
+            for number, gap, letter in MD_PART.findall((text or "").upper()):
+                if letter:
+                    at.append(here)
+                    base.append(letter)
+                    found += 1
+                here += int(number) if number else len(gap) if gap else 1
+            count.append(found)
+        values = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(base, pa.string())], names=["r", "base"])
+        return nullable_lists(md, values, np.array(count, np.int64))
+
+    return walk(md)
 
 
 def deaminations(md: Column, ops: Column, seq: Column) -> Column:
-    """struct<ct, ga>: read positions where C became T, and G became A, by the MD text."""
-    blocks = aligned_blocks(ops)
-    at = F.transform(substitutions(md), lambda s: F.struct(read_of(blocks, s["r"]).alias("q"), s["base"].alias("base")))
-
-    def of(before: str, after: str) -> Column:
-        return F.transform(F.filter(at, lambda s: (s["base"] == before) & (F.substring(F.upper(seq), s["q"].cast("int") + 1, F.lit(1)) == after)), lambda s: s["q"])
-
-    return F.struct(of("C", "T").alias("ct"), of("G", "A").alias("ga"))
+    """struct<ct, ga>: read positions where C became T, and G became A, by the MD text; empty where it can't tell."""
+
+    @F.arrow_udf("struct<ct:array<bigint>,ga:array<bigint>>")
+    def walk(md: pa.Array, ops: pa.Array, seq: pa.Array) -> pa.Array:
+        found: tuple[list, list] = [], []
+        for text, steps, letters in zip(md.to_pylist(), ops.to_pylist(), seq.to_pylist()):
+            changes = None if text is None or steps is None or letters is None else read_changes(np.frombuffer(letters.upper().encode(), np.uint8), [(x["op"], x["n"]) for x in steps], text)
+            for out, at in zip(found, changes or ((), ())):
+                out.append(np.asarray(at, np.int64))
+        return pa.StructArray.from_arrays([to_lists(x, pa.int64()) for x in found], names=["ct", "ga"])
+
+    return walk(md, ops.cast("array<struct<op:int,n:bigint>>"), seq)
 
 
 def stamp(seq: Column, positions: Column, sign: str) -> Column:

@@ -257,20 +257,19 @@ def read_changes(seq: np.ndarray, ops: list[tuple[int, int]] | None, md: str | N
 
 
 def stamped(reads: DataFrame, *, forced: str | None = None) -> DataFrame:
-    """reads (…, seq, cigar, md[, ref_seq]) with C>T written as Y or G>A as R, plus st (CT, GA), n_ct, n_ga and chimera.
+    """reads (…, seq[, cigar, md, ref_seq]) with C>T written as Y or G>A as R, plus st (CT, GA), n_ct, n_ga and chimera.
 
     The strand is that of the more changes, or ``forced``. Where it can't be told, from a tie
     or from missing alignments, seq stays and st is null. ref_seq, the reference bases that
     the read spans, stands in for a missing or unfitting MD text. seq may be null.
     """
     columns = [c for c in reads.columns if c not in ("st", "n_ct", "n_ga", "chimera")]
-    has_ref = "ref_seq" in reads.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda name: batch.column(columns.index(name)).to_pylist()  # noqa: E731, B023
+            get = lambda name: batch.column(columns.index(name)).to_pylist() if name in columns else [None] * batch.num_rows  # noqa: E731, B023
             new, strand, counts, mixed = [], [], [], []
-            for seq, ops, md, ref in zip(get("seq"), get("cigar"), get("md"), get("ref_seq") if has_ref else [None] * batch.num_rows):
+            for seq, ops, md, ref in zip(get("seq"), get("cigar"), get("md"), get("ref_seq")):
                 pairs = None if ops is None else [(x["op"], x["n"]) for x in ops]
                 changes = None if seq is None else read_changes(np.frombuffer(seq.upper().encode(), np.uint8), pairs, md, ref)
                 ct, ga = changes if changes is not None else (np.zeros(0, np.int64),) * 2

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,9 @@ def resolve_ambiguity(seq: Column) -> Column:
 
 
 def sign_positions(seq: Column, sign: str) -> Column:
-    """0-based positions of a one-letter sign."""
-    at = F.sequence(F.lit(1), F.length(seq))
-    return F.when(F.length(seq) > 0, F.transform(F.filter(at, lambda i: F.substring(seq, i, F.lit(1)) == sign), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    """0-based positions of a one-letter sign; empty for null."""
+    letters = F.split(F.coalesce(seq, F.lit("")), "")
+    return F.transform(F.filter(F.transform(letters, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"] == sign), lambda x: x["i"])
 
 
 def count_sign(seq: Column, sign: str) -> Column:
@@ -114,6 +117,14 @@ def parse_skips(mm: Column) -> Column:
 
 def mark_ordinals(skips: Column) -> Column:
     """Ordinals of marked bases from skip counts: running sum of skip + 1, less 1."""
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    return F.aggregate(skips, start, lambda a, s: F.struct((a["at"] + s + 1).cast("bigint").alias("at"), F.concat(a["out"], F.array((a["at"] + s).cast("bigint"))).alias("out")), lambda a: a["out"])
+
+    @F.arrow_udf("array<bigint>")
+    def walk(skips: pa.Array) -> pa.Array:
+        flat, n = np.asarray(skips.flatten(), np.int64) + 1, np.asarray(pc.fill_null(pc.list_value_length(skips), 0), np.int64)
+        sums = np.concatenate(([0], np.cumsum(flat)))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        values = pa.array(sums[1:] - np.repeat(sums[ends[:-1]], n) - 1)
+        offsets = pa.array(ends.astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values, mask=pc.is_null(skips)) if skips.null_count else pa.ListArray.from_arrays(offsets, values)
+
+    return walk(skips.cast("array<bigint>"))

@@ -60,7 +60,7 @@ def tile_circle(rows: DataFrame, molecules: DataFrame, by: list[str], *, least:
     uncovered base (0 if there is none), what still goes over the opening is split, then
     it is tiled as a line. A molecule with an interval of its whole length is that interval
     (or accessible, if under ``least``); one without intervals is accessible. Accessible
-    stretches under ``gap`` go. The list of one molecule is folded inside the JVM.
+    stretches under ``gap`` go.
     """
     least, gap, size = max(1, least), max(1, gap), F.col("length")
     held = lists_of(rows, molecules, by)

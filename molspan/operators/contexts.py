@@ -159,3 +159,9 @@ def weighted_line(rows: DataFrame, x: str, y: str, weight: str) -> DataFrame:
     s = s.withColumn("intercept", (F.col("wy") - F.col("slope") * F.col("wx")) / F.col("w"))
     left = F.col("wyy") - F.col("intercept") * F.col("wy") - F.col("slope") * F.col("wxy")
     return s.select("intercept", "slope", (1 - left / F.nullif(F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"), F.lit(0.0))).alias("r2"), "n")
+
+
+def rate_summary(table: DataFrame) -> DataFrame:
+    """(state, n, least, greatest, mean, std) of p_prot (state 0) and p_acc (1)."""
+    rates = F.array(F.struct(F.lit(0).alias("state"), F.col("p_prot").alias("p")), F.struct(F.lit(1).alias("state"), F.col("p_acc").alias("p")))
+    return table.select(F.inline(rates)).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("least"), F.max("p").alias("greatest"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))

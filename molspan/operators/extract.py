@@ -238,6 +238,40 @@ def features(reads: DataFrame, kinds: tuple[str, ...] = FEATURES, *, scored: boo
     return map_batches(rows, run, ROW)
 
 
+ANNOTATION = "k int, kind string, start int, n int, quals array<int>, name string"
+
+
+def annotation_rows(reads: DataFrame, *, id_col: str = "read_id") -> DataFrame:
+    """(id, k, kind, start, n, quals, name): the annotations of rows (id, ma, ma_aq, an, is_reverse) with their bytes and names, as the sequence is stored.
+
+    k is the place in the text; of three bytes the last two change places on reverse reads.
+    A null or malformed text has no rows.
+    """
+    kind = dict(reads.dtypes)[id_col]
+    fields = schema_fields(ANNOTATION)
+    column = lambda n, t: (F.col(n) if n in reads.columns else F.lit(None)).cast(t).alias(n)
+    rows = reads.select(id_col, column("ma", "string"), column("ma_aq", "array<int>"), column("an", "string"), column("is_reverse", "boolean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, out = [], []
+            for i, (ma, quality, names, reverse) in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]])):
+                try:
+                    length, found = annotations(ma or "", quality, names)
+                except ValueError:
+                    continue
+                for k, r in enumerate(found):
+                    q = r["quals"]
+                    if reverse:
+                        q = [q[0], q[2], q[1], *q[3:]] if len(q) >= 3 else q
+                        r["start"] = length - r["start"] - r["n"]
+                    who.append(i)
+                    out.append(r | {"k": k, "quals": q})
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *[pa.array([r[f.name] for r in out], f.type) for f in fields]], names=[id_col, *[f.name for f in fields]])
+
+    return map_batches(rows, run, f"`{id_col}` {kind}, {ANNOTATION}")
+
+
 def columns_of(feature: str, *, block_scores: bool = False, circles: bool = False, haplotypes: bool = False) -> list[tuple[str, str, str]]:
     """(type, name, remark) of a feature's columns: BED12, then scores by block, pieces of circles, haplotypes."""
     feature = ALIASES.get(feature, feature)
@@ -321,4 +355,4 @@ def joined_blocks(rows: DataFrame) -> DataFrame:
     return one.withColumns(made).drop("__b", "read_start", "read_end")
 
 
-__all__ = ["FEATURES", "annotations", "autosql", "bed_line", "circular_parts", "features", "joined_blocks", "sample_of_file", "sample_token", "with_sample", "write_bed"]
+__all__ = ["FEATURES", "annotation_rows", "annotations", "autosql", "bed_line", "circular_parts", "features", "joined_blocks", "sample_of_file", "sample_token", "with_sample", "write_bed"]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molspan.functions.alignment import nullable_lists
+
 
 def merge(rows: DataFrame, by: list[str]) -> DataFrame:
     """Unions of touching or overlapping intervals: (*by, start, stop, n)."""
@@ -75,24 +80,34 @@ def tiled(items: Column, least: int) -> Column:
 
     Each is clipped to where the last one ended; what is then under ``least`` goes.
     """
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,clipped:boolean>>")
-    begin = F.struct(F.lit(None).cast("bigint").alias("last"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], F.coalesce(acc["last"], x["start"])).cast("bigint")
-        stop = (-x["minus"]).cast("bigint")
-        fits = stop - start >= least
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), (start > x["start"]).alias("clipped")))
-        return F.struct(F.when(fits, stop).otherwise(acc["last"]).alias("last"), F.when(fits, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(items, begin, step, lambda acc: acc["out"])
+    @F.arrow_udf("array<struct<start:bigint,stop:bigint,clipped:boolean>>")
+    def walk(items: pa.Array) -> pa.Array:
+        flat = items.flatten()
+        rows = zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())
+        starts, stops, moved, counts = [], [], [], []
+        for n in pc.fill_null(pc.list_value_length(items), 0).to_pylist():
+            last, kept = None, 0
+            for _ in range(n):
+                start, minus = next(rows)
+                begin = start if last is None or last < start else last
+                if -minus - begin >= least:
+                    starts.append(begin)
+                    stops.append(-minus)
+                    moved.append(begin > start)
+                    last, kept = -minus, kept + 1
+            counts.append(kept)
+        values = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(moved, pa.bool_())], names=["start", "stop", "clipped"])
+        return nullable_lists(items, values, np.array(counts, np.int64))
+
+    return walk(items.cast("array<struct<start:bigint,minus:bigint>>"))
 
 
 def tile(rows: DataFrame, by: list[str], *, least: int = 85) -> DataFrame:
     """A tiling without overlaps: by (start, longest first), each clipped to where the last ended.
 
-    Returns (*by, start, stop, clipped); what is then under ``least`` goes. The list of one
-    molecule is folded inside the JVM.
+    Returns (*by, start, stop, clipped); what is then under ``least`` goes. Lists are walked
+    in Arrow batches, in time that grows with them.
     """
     item = F.struct("start", (-F.col("stop")).alias("minus"))
     lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -122,3 +137,37 @@ def repeat_length(gaps: DataFrame, *, anchor: float = 185.0, least: int = 300, l
     raw = 0.5 * (F.lit(lo) + F.col("mode_bin") * 10 + 5 + F.col("median_gap"))
     nrl = F.when(F.col("n") < least, F.lit(anchor)).otherwise(F.bround(F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), raw)), 0))
     return mid.crossJoin(F.broadcast(mode)).withColumn("nrl", nrl)  # one row each
+
+
+def analysed_span(length: Column, *lists: tuple[Column, Column]) -> Column:
+    """struct<lo, hi>: from the first start to the last stop of lists of (starts, sizes); 0 to length if all are empty."""
+    starts, stops = None, None
+    for start, size in lists:
+        a = F.coalesce(start.cast("array<bigint>"), F.array().cast("array<bigint>"))
+        b = F.zip_with(a, F.coalesce(size.cast("array<bigint>"), F.array().cast("array<bigint>")), lambda x, n: x + n)
+        starts, stops = (a, b) if starts is None else (F.concat(starts, a), F.concat(stops, b))
+    return F.struct(F.coalesce(F.array_min(starts), F.lit(0).cast("bigint")).alias("lo"), F.coalesce(F.array_max(stops), length.cast("bigint")).alias("hi"))
+
+
+def quality_of(rows: DataFrame, old: DataFrame, by: list[str], quality: str = "nq") -> DataFrame:
+    """rows (*by, start, stop, …) plus the quality that old (*by, start, stop, quality) has for the same interval, 0 without."""
+    known = old.groupBy(*by, "start", "stop").agg(F.max(quality).alias(quality))
+    return rows.drop(quality).join(known, [*by, "start", "stop"], "left").withColumn(quality, F.coalesce(quality, F.lit(0)))
+
+
+def gaps_to_next(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows plus ``gap``: bases to the next interval's start; null for the last."""
+    return rows.withColumn("gap", F.lead("start").over(Window.partitionBy(*by).orderBy("start")) - F.col("stop"))
+
+
+def depth(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(*by, pos, depth, top, mean) of each base that intervals cover."""
+    laid = rows.where("stop > start").select(*(by or []), F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"), value)
+    return laid.groupBy(*(by or []), "pos").agg(F.count(F.lit(1)).alias("depth"), F.max(value).alias("top"), F.avg(value).alias("mean"))
+
+
+def circular_pieces(rows: DataFrame, length: Column, by: list[str]) -> DataFrame:
+    """(*by, start, n, part, parts, whole) of circular intervals (*by, start, n): linear pieces, numbered by start, and what they are together."""
+    split = split_circular(rows, length)
+    w, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("start", F.desc("piece"), "n")
+    return split.select(*by, "start", "n", F.row_number().over(ordered).alias("part"), F.count(F.lit(1)).over(w).cast("int").alias("parts"), F.sum("n").over(w).alias("whole"))

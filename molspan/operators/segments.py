@@ -49,3 +49,14 @@ def smoothed_rate(obs: DataFrame, by: list[str], half: int = 10, *, hit: str = "
     """Adds ``rate``: hits per opportunity in a centred frame of 2 * half + 1 rows, null without any."""
     w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-half, half)
     return obs.withColumn("rate", F.sum(hit).over(w).cast("double") / F.nullif(F.sum(opp).over(w), F.lit(0)))
+
+
+def footprints(states: DataFrame, by: list[str], *, state: str = "state", score: Column | None = None) -> DataFrame:
+    """(*by, start, stop[, score]): runs of state 0, with the mean score of each."""
+    found = runs(states, by, state=state, score=score).where(F.col(state) == 0)
+    return found.select(*by, "start", "stop", *([] if score is None else ["score"]))
+
+
+def call_sums(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n, llr, opps, longest) of calls."""
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("llr").alias("llr"), F.sum("opps").alias("opps"), F.max(F.col("stop") - F.col("start")).alias("longest"))

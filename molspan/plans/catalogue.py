@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molspan.functions import chain
@@ -310,8 +310,7 @@ def fn26(spark, sf_dir):
 
 @query("q_ag22_projection", f"WITH {INTERVALS} SELECT pos, count(*) AS depth, max(score) AS top, round(avg(score), 6) AS mean FROM (SELECT unnest(range(start, stop)) AS pos, score FROM iv) GROUP BY pos")
 def ag22(spark, sf_dir):
-    rows = intervals_of(spark, sf_dir).where("stop > start").select(F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"), "score")
-    return rounded(rows.groupBy("pos").agg(F.count(F.lit(1)).alias("depth"), F.max("score").alias("top"), F.avg("score").alias("mean")), "mean")
+    return rounded(intervals.depth(intervals_of(spark, sf_dir), "score"), "mean")
 
 
 @query("q_ag10_stats", f"""WITH {INTERVALS} SELECT kind, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS least, quantile_cont(v, 0.25) AS q25,
@@ -407,16 +406,12 @@ def ag08(spark, sf_dir):
 
 @query("q_fn01_mm_roundtrip", f"WITH {OBS} SELECT read_id, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS k, pos FROM obs WHERE hit = 1")
 def fn01(spark, sf_dir):
-    from pyspark.sql import Window
-
     hits = obs_of(spark, sf_dir).where("hit = 1")
     w = Window.partitionBy("read_id").orderBy("pos")
     skips = hits.withColumn("skip", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-1)) - 1)
     text = skips.groupBy("read_id").agg(F.concat(F.lit("A+a,"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "skip"))), lambda x: x["skip"].cast("string")), ","), F.lit(";")).alias("mm"))
-    marks = text.select("read_id", F.posexplode(S.parse_skips(F.col("mm"))).alias("k", "skip"))
-    # mark_ordinals() copies its array for each mark, so long molecules are summed over rows
-    upto = Window.partitionBy("read_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.select("read_id", F.col("k").cast("long").alias("k"), (F.sum(F.col("skip") + 1).over(upto) - 1).alias("pos"))
+    found = text.withColumn("at", S.mark_ordinals(S.parse_skips(F.col("mm")))).select("read_id", F.posexplode("at").alias("k", "pos"))
+    return found.withColumn("k", F.col("k").cast("long"))
 
 
 @query("q_fn25_unit_byte", "SELECT l_orderkey, l_linenumber, CAST(trunc(least(greatest(l_discount * 255, 0), 255)) AS INT) AS u8 FROM lineitem")
@@ -532,8 +527,11 @@ def snk22(spark, sf_dir):
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-@query("q_sm01_stream", "SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS code FROM events WHERE event_type <> 'error'")
-def sm01(spark, sf_dir):
+EVENT_CODES = "SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS code FROM events WHERE event_type <> 'error'"
+
+
+@query("x_stream_files", EVENT_CODES)
+def stream_files(spark, sf_dir):
     code = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "view", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
     return flow.drain(spark, sf_dir, "events.parquet", EVENTS, lambda e: e.where("event_type <> 'error'").select("event_id", code.alias("code")))
 

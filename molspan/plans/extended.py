@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molspan.functions import alignment, chain
 from molspan.functions import sequences as S
-from molspan.operators import circular, contexts, intervals, recall, segments
+from molspan.operators import circular, contexts, extract, intervals, recall, segments
 from molspan.session import cut
 from molspan.sources import tables
 
@@ -149,8 +149,8 @@ def iv24(spark, sf_dir):
 SELECT iv.read_id, iv.start, iv.stop, coalesce(nq, 0) AS nq FROM iv LEFT JOIN o ON o.read_id = iv.read_id AND o.start = iv.start AND o.n = iv.stop - iv.start WHERE kind = 'nuc'""")
 def jn08(spark, sf_dir):
     rows = intervals_of(spark, sf_dir).where("kind = 'nuc'")
-    old = rows.where("start % 3 > 0").groupBy("read_id", "start", "stop").agg(F.max("score").alias("nq"))
-    return rows.join(old, ["read_id", "start", "stop"], "left").select("read_id", "start", "stop", F.coalesce("nq", F.lit(0)).cast("long").alias("nq"))
+    old = rows.where("start % 3 > 0").withColumnRenamed("score", "nq")
+    return intervals.quality_of(rows, old, ["read_id"]).select("read_id", "start", "stop", F.col("nq").cast("long").alias("nq"))
 
 
 @query("q_jn12_scan_spaces", MERGED + f""", {OBS} SELECT m.read_id, m.start, m.stop, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM merged m JOIN obs o ON o.read_id = m.read_id AND o.pos >= m.start AND o.pos < m.stop GROUP BY 1, 2, 3""")
@@ -201,9 +201,7 @@ SELECT read_id, score, start, n, CAST(row_number() OVER (PARTITION BY read_id, s
   CAST(sum(n) OVER (PARTITION BY read_id, score) AS BIGINT) AS whole FROM p""")
 def fn32(spark, sf_dir):
     rows = intervals_of(spark, sf_dir).select("read_id", "score", "start", (F.col("stop") - F.col("start")).alias("n"))
-    pieces = intervals.split_circular(rows, F.lit(50).cast("long"))
-    w, ordered = Window.partitionBy("read_id", "score"), Window.partitionBy("read_id", "score").orderBy("start", F.desc("piece"), "n")
-    return pieces.select("read_id", "score", "start", "n", F.row_number().over(ordered).alias("part"), F.count(F.lit(1)).over(w).cast("int").alias("parts"), F.sum("n").over(w).alias("whole"))
+    return intervals.circular_pieces(rows, F.lit(50).cast("long"), ["read_id", "score"])
 
 
 # Confidence of the chain
@@ -227,8 +225,7 @@ def confident(spark: SparkSession, sf_dir: str) -> DataFrame:
 rn AS (SELECT *, sum(c) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM ch)
 SELECT read_id, min(pos) AS start, max(pos) + 1 AS stop, round(avg(confidence), 5) AS score FROM rn WHERE state = 0 GROUP BY read_id, run""")
 def iv03(spark, sf_dir):
-    found = segments.runs(confident(spark, sf_dir), ["read_id"], score=F.col("confidence")).where("state = 0")
-    return rounded(found.select("read_id", "start", "stop", "score"), "score", places=5)
+    return rounded(segments.footprints(confident(spark, sf_dir), ["read_id"], score=F.col("confidence")), "score", places=5)
 
 
 @query("q_snk13_posterior_text", f"SELECT read_id, to_base64(unhex(string_agg(printf('%02x', CAST(trunc(least(greatest((1 - p) * 255, 0), 255)) AS INT)), '' ORDER BY pos))) AS posteriors FROM ({POSTERIOR}) GROUP BY read_id")
@@ -240,9 +237,7 @@ def snk13(spark, sf_dir):
 @query("q_ag24_model_summary", TABLES + """SELECT state, count(*) AS n, round(min(p), 6) AS least, round(max(p), 6) AS greatest, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std
   FROM (SELECT 0 AS state, p_prot AS p FROM t UNION ALL SELECT 1, p_acc FROM t) GROUP BY state""")
 def ag24(spark, sf_dir):
-    rates = F.array(F.struct(F.lit(0).alias("state"), F.col("p_prot").alias("p")), F.struct(F.lit(1).alias("state"), F.col("p_acc").alias("p")))
-    rows = tables_of(spark, sf_dir).select(F.inline(rates))
-    return rounded(rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("least"), F.max("p").alias("greatest"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std")), "least", "greatest", "mean", "std")
+    return rounded(contexts.rate_summary(tables_of(spark, sf_dir)), "least", "greatest", "mean", "std")
 
 
 # Tables of contexts
@@ -295,26 +290,32 @@ def ag14(spark, sf_dir):
 
 @query("q_ag18_call_sums", SCAN + "SELECT read_id, count(*) AS n, sum(llr) AS llr, CAST(sum(opps) AS BIGINT) AS opps, max(stop - start) AS longest FROM calls GROUP BY read_id")
 def ag18(spark, sf_dir):
-    return scan(spark, sf_dir).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.sum("llr").alias("llr"), F.sum("opps").alias("opps"), F.max(F.col("stop") - F.col("start")).alias("longest"))
+    return segments.call_sums(scan(spark, sf_dir), ["read_id"])
 
 
 @query("q_wn03_gaps", f"SELECT read_id, start, stop, lead(start) OVER (PARTITION BY read_id ORDER BY start) - stop AS gap FROM ({VITERBI} SELECT read_id, start, stop FROM runs WHERE state = 0)")
 def wn03(spark, sf_dir):
-    found = segments.runs(states_of(spark, sf_dir), ["read_id"]).where("state = 0").select("read_id", "start", "stop")
-    return found.withColumn("gap", F.lead("start").over(Window.partitionBy("read_id").orderBy("start")) - F.col("stop"))
+    return intervals.gaps_to_next(segments.footprints(states_of(spark, sf_dir), ["read_id"]), ["read_id"])
 
 
-@query("q_jn18_annotation_bytes", f"""WITH {INTERVALS}, o AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY kind, start, stop, score) - 1 AS k, CASE kind WHEN 'nuc' THEN 1 ELSE 3 END AS wide FROM iv)
-SELECT read_id, k, kind, CAST(sum(wide) OVER (PARTITION BY read_id ORDER BY k ROWS UNBOUNDED PRECEDING) - wide AS INT) AS at, wide FROM o""")
+@query("q_jn18_annotation_bytes", f"""WITH {INTERVALS}, o AS (SELECT read_id, kind, score, read_id % 2 = 1 AS rev, CASE WHEN read_id % 2 = 1 THEN 600 - stop ELSE start END AS start, stop - start AS n, start AS s0, row_number() OVER (PARTITION BY read_id ORDER BY kind, start, stop, score) - 1 AS k FROM iv)
+SELECT read_id, CAST(k AS INT) AS k, kind, CAST(start AS INT) AS start, CAST(n AS INT) AS n, CASE WHEN kind = 'nuc' THEN score || '' WHEN rev THEN score || ',7,' || (s0 % 256) ELSE score || ',' || (s0 % 256) || ',7' END AS quals, kind || '_' || k AS name FROM o""")
 def jn18(spark, sf_dir):
-    w = Window.partitionBy("read_id").orderBy("kind", "start", "stop", "score")
-    wide = F.when(F.col("kind") == "nuc", 1).otherwise(3)
-    return intervals_of(spark, sf_dir).select("read_id", (F.row_number().over(w) - 1).cast("long").alias("k"), "kind", (F.sum(wide).over(w.rowsBetween(Window.unboundedPreceding, 0)) - wide).cast("int").alias("at"), wide.alias("wide"))
+    item = F.struct("start", "stop", "score")
+    lists = intervals_of(spark, sf_dir).groupBy("read_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, item))).alias(k) for k in ("nuc", "tf")])
+    token = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), (x["stop"] - x["start"]).alias("n")))
+    quality = F.concat(F.transform("nuc", lambda x: x["score"].cast("int")), F.flatten(F.transform("tf", lambda x: F.array(x["score"].cast("int"), (x["start"] % 256).cast("int"), F.lit(7)))))
+    names = F.array_join(F.concat(F.transform("nuc", lambda x, i: F.concat(F.lit("nuc_"), i.cast("string"))), F.transform("tf", lambda x, i: F.concat(F.lit("tf_"), (i + F.size("nuc")).cast("string")))), ",")
+    rows = lists.select("read_id", S.annotation_text(F.lit(600), [("nuc.Q", token("nuc")), ("tf.QQQ", token("tf"))]).alias("ma"), quality.alias("ma_aq"), names.alias("an"), (F.col("read_id") % 2 == 1).alias("is_reverse"))
+    return extract.annotation_rows(rows).withColumn("quals", F.array_join(F.col("quals").cast("array<string>"), ","))
 
 
-@query("q_iv26_analysed_span", f"WITH {INTERVALS} SELECT read_id, min(start) AS lo, max(stop) AS hi, CAST(max(stop) - min(start) AS BIGINT) AS span FROM iv GROUP BY read_id")
+@query("q_iv26_analysed_span", f"""WITH {INTERVALS} SELECT read_id, coalesce(min(start) FILTER (score > 20), 0) AS lo, coalesce(max(stop) FILTER (score > 20), 777) AS hi FROM iv GROUP BY read_id""")
 def iv26(spark, sf_dir):
-    return intervals_of(spark, sf_dir).groupBy("read_id").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"), (F.max("stop") - F.min("start")).alias("span"))
+    kept = lambda kind, v: F.collect_list(F.when((F.col("kind") == kind) & (F.col("score") > 20), v))
+    rows = intervals_of(spark, sf_dir).withColumn("n", F.col("stop") - F.col("start")).groupBy("read_id").agg(*[kept(k, F.struct("start", "n")).alias(k) for k in ("nuc", "tf")])
+    part = lambda k, f: F.transform(k, lambda x: x[f])
+    return rows.withColumn("s", intervals.analysed_span(F.lit(777), *[(part(k, "start"), part(k, "n")) for k in ("nuc", "tf")])).select("read_id", "s.lo", "s.hi")
 
 
 TAGGED = f"""WITH {INTERVALS}, x AS (SELECT read_id, CASE WHEN kind = 'tf' THEN 'tf' WHEN score > 30 THEN 'msp' ELSE 'nuc' END AS kind, start, stop - start AS n, score FROM iv),

@@ -138,6 +138,19 @@ def iv10(spark, sf_dir):
     return rounded(found, "llr")
 
 
+@query("q_sm01_stream", FUSED.partition("~")[0] + """SELECT read_id, 'tf' AS kind, start, stop, round(llr, 6) AS llr, opps FROM tf UNION ALL SELECT read_id, 'msp', start, stop, NULL, NULL FROM msp
+UNION ALL SELECT read_id, 'nuc', start, stop, NULL, NULL FROM runs n WHERE state = 0 AND (stop - start >= 12 OR NOT EXISTS (SELECT 1 FROM tf WHERE tf.read_id = n.read_id AND tf.start < n.stop AND tf.stop > n.start))""")
+def sm01(spark, sf_dir):
+    """The fused plan over a stream of files of coded molecules."""
+    from molspan.session import new_folder
+    from molspan.streaming import flow
+
+    folder = new_folder(spark, "coded")
+    coded_reads(spark, sf_dir).repartition(6, "read_id").write.parquet(folder)
+    found = flow.drain(spark, folder, "*.parquet", "read_id long, codes array<int>", lambda rows: call.call_codes(rows, MODEL, FUSE).select("read_id", "kind", "start", "stop", "llr", "opps"), files_per_trigger=2)
+    return rounded(found, "llr")
+
+
 # Features on the reference
 
 

@@ -765,11 +765,12 @@ def with_reference(reads: DataFrame, pieces: DataFrame, width: int = 1 << 16) ->
     bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("ref_start") / width).cast("int"), F.floor((F.col("ref_end") - 1) / width).cast("int"))))
     met = bins.join(pieces, ["chrom", "bin"]).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bin", "piece"))), lambda x: x["piece"]), "").alias("__text"))
     text: Column = F.substring(F.col("__text"), F.pmod(F.col("ref_start"), F.lit(width)).cast("int") + 1, F.col("ref_end") - F.col("ref_start"))
-    met = met.withColumn("ref_seq", text).drop("__text")
+    met = met.withColumn("ref_seq", text).select(*[F.col(c).alias(f"__{c}") for c in key], "ref_seq")
     same = F.lit(True)
     for c in key:
-        same = same & reads[c].eqNullSafe(met[c])
-    return reads.join(met, same, "left").select(*[reads[c] for c in reads.columns if c != "ref_seq"], met["ref_seq"])
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    columns = [c for c in reads.columns if c != "ref_seq"]
+    return reads.select(*columns).join(met, same, "left").select(*columns, "ref_seq")
 
 
 def block_offsets(path: str) -> list[int]:
