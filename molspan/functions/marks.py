@@ -69,11 +69,16 @@ def parse(mm: str | None, ml: np.ndarray | None, seq: np.ndarray, reverse: bool)
         yield base, head[2:3], places[ordinal[: len(quality)][there]], quality[there]
 
 
-def kept_marks(mm: str | None, ml: np.ndarray | None, seq: np.ndarray, reverse: bool, threshold: int, mode: str, codes: str | None = None) -> np.ndarray:
-    """Sorted positions of marks of a mode with at least the quality ``threshold``, each once. codes: only these letters."""
+def kept_places(mm: str | None, ml: np.ndarray | None, seq: np.ndarray, reverse: bool, threshold: int, mode: str, codes: str | None = None) -> np.ndarray:
+    """Positions of marks of a mode with at least the quality ``threshold``, in the text's order. codes: only these letters."""
     bases = ADMITTED[ALIASES.get(mode, mode)]
     found = [at[q >= threshold] for base, code, at, q in parse(mm, ml, seq, reverse) if base in bases and (codes is None or code in codes)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def kept_marks(*read: object, **choice: object) -> np.ndarray:
+    """kept_places() in order, each once."""
+    return np.unique(kept_places(*read, **choice))
 
 
 def mm_text(seq: np.ndarray, reverse: bool, base: str, code: str, positions: np.ndarray) -> str:

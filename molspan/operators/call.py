@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from molspan.functions.chain import Model, accessible_chance, decode, flat_lists
 from molspan.functions.encoding import NUMBER, ambiguous, mark_mask, n_symbols, observe, resolved
-from molspan.functions.marks import bytes_of, conversion, is_chimera, kept_marks, numbers, read_changes, schema_fields, upper
+from molspan.functions.marks import bytes_of, conversion, is_chimera, kept_places, numbers, read_changes, schema_fields, upper
 from molspan.functions.spans import NONE, Calls, Evidence, Nucs, Spans, clipped, edge_bytes, gaps, llr_bytes, merged, overlaps, recalled, refined
 from molspan.session import map_batches
 
@@ -82,7 +82,7 @@ def observed_reads(columns: dict[str, list], options: Options) -> tuple[np.ndarr
         reverse = bool(columns["is_reverse"][i])
         ml = columns["ml"][i]
         if options.mode != "daf":
-            at = kept_marks(columns["mm"][i], ml, seq, reverse, options.threshold, options.mode, options.codes)
+            at = kept_places(columns["mm"][i], ml, seq, reverse, options.threshold, options.mode, options.codes)
         else:
             for source in options.sources:
                 if source == "ambiguity" and ((seq == 82) | (seq == 89)).any():
@@ -97,7 +97,7 @@ def observed_reads(columns: dict[str, list], options: Options) -> tuple[np.ndarr
                         at, strand = (changes[0], "+") if way == "CT" else (changes[1], "-")
                         break
                 if source == "mm" and columns["mm"][i] and ml is not None:
-                    at = kept_marks(columns["mm"][i], ml, seq, reverse, options.threshold, "daf", options.codes)
+                    at = kept_places(columns["mm"][i], ml, seq, reverse, options.threshold, "daf", options.codes)
                     t, a_ = int((seq[at] == 84).sum()), int((seq[at] == 65).sum())
                     strand = "+" if t > a_ else "-" if a_ > t else "."
                     break
@@ -150,7 +150,8 @@ def structure(codes: np.ndarray, length: np.ndarray, model: Model, ratios: tuple
     footprints = state_runs(states, length)
     first = np.cumsum(length) - length
     step, hit, opp = ratios
-    found = Structure(first, length, Evidence(step[codes], hit[codes], opp[codes]), footprints, Spans(NONE, NONE))
+    asked = codes if options.recall or options.bind else codes[:0]
+    found = Structure(first, length, Evidence(step[asked], hit[asked], opp[asked]), footprints, Spans(NONE, NONE))
     found.msps = gaps(found.molecules(), footprints.where(footprints.size() >= options.nuc_min))
     found.msps = found.msps.where(found.msps.size() >= options.msp_min)
     if options.scores:
@@ -396,8 +397,8 @@ def check_symbols(model: Model, k: int) -> None:
         raise ValueError(f"the model has {len(model.emission[0])} symbols; contexts of {k} bases on both sides need {n_symbols(k)}")
 
 
-def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model, second: Model, options: Options) -> list[dict[str, object]]:
-    """One dictionary of OUTPUT for each read; those with a reason have nothing else."""
+def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model, second: Model, options: Options) -> list[dict[str, object]] | dict[str, pa.Array]:
+    """OUTPUT of each read, as columns or as one dictionary a read; those with a reason have nothing else."""
     out: list[dict[str, object]] = [{"skip_reason": r} for r in reasons]
     some = [i for i, r in enumerate(reasons) if r is None]
     chosen = {name: [values[i] for i in some] for name, values in columns.items()}
@@ -419,6 +420,10 @@ def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model
     else:
         s = structure(codes, length, model, symbol_ratios(second), options)
     found = fuse(s, options)
+    if not options.circular and not options.tagged:
+        where = pa.array([None if r is not None else k for r, k in zip(reasons, np.cumsum([r is None for r in reasons]).tolist())], pa.int64())
+        at = pc.subtract(where, 1)
+        return {name: values.take(at) for name, values in line_columns(s, found, reverse, options).items()} | {"skip_reason": pa.array(reasons, pa.string())}
     rows = by_molecule(s, found)
     if options.tagged:  # a read without marks stays as it is
         some = [i if len(m) else -1 for i, m in zip(some, marks)]
@@ -447,6 +452,61 @@ def call_batch(columns: dict[str, list], reasons: list[str | None], model: Model
     return out
 
 
+def line_columns(s: Structure, found: Called, reverse: np.ndarray, options: Options) -> dict[str, pa.Array]:
+    """The tags and calls of every molecule of a line as columns: tags() for all at once, where no interval goes over an end."""
+    n_mol = len(s.length)
+
+    def placed(spans: Spans, *quality: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(molecule, start, n, *quality) in the direction the molecules were read, by start."""
+        own = s.owner(spans.start)
+        n = spans.size()
+        at = spans.start - s.first[own]
+        at = np.where(reverse[own], s.length[own] - at - n, at)
+        order = np.lexsort((n, at, own))
+        return tuple(x[order] for x in (own, at, n, *quality))
+
+    def lists(own: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.ListArray:
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(own, minlength=n_mol)))).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, values, mask=None if null is None else pa.array(null))
+
+    nucs, bound = found.nucs, found.bound
+    turned = reverse[s.owner(nucs.start)]
+    el, er = np.where(turned, nucs.er, nucs.el), np.where(turned, nucs.el, nucs.er)
+    nuc = placed(nucs.spans(), nucs.nq, el, er)
+    msp = placed(found.msps, *([] if found.msp_q is None else [found.msp_q]))
+    q, left, right = llr_bytes(bound.llr), edge_bytes(bound.left), edge_bytes(bound.right)
+    turned = reverse[s.owner(bound.start)]
+    tf = placed(bound.spans(), q, np.where(turned, right, left), np.where(turned, left, right))
+    int32 = lambda x: pa.array(x, pa.int32())
+    legacy = nuc[:3]
+    if options.compat:
+        both = [np.concatenate(x) for x in zip(nuc[:3], tf[:3])]
+        order = np.lexsort((both[2], both[1], both[0]))
+        legacy = tuple(x[order] for x in both)
+    out: dict[str, pa.Array] = {"ns": lists(legacy[0], int32(legacy[1])), "nl": lists(legacy[0], int32(legacy[2])), "as": lists(msp[0], int32(msp[1])), "al": lists(msp[0], int32(msp[2]))}
+    per = {k: np.bincount(x[0], minlength=n_mol) for k, x in (("nuc", nuc), ("msp", msp), ("tf", tf))}
+    if found.scored and not options.compat:
+        out["nq"] = lists(nuc[0], int32(nuc[3]), per["nuc"] == 0)
+    if found.msp_q is not None and not options.compat:
+        out["aq"] = lists(msp[0], int32(msp[3]))
+    if not options.compat:
+        heads = {"nuc": ";nuc.QQQ:" if found.edged else ";nuc.Q:", "msp": ";msp.:", "tf": ";tf.QQQ:"}
+        texts = {k: ([f"{a}-{b}" for a, b in zip((x[1] + 1).tolist(), x[2].tolist())], np.concatenate(([0], np.cumsum(per[k]))).tolist()) for k, x in (("nuc", nuc), ("msp", msp), ("tf", tf))}
+        ma = []
+        for i, n in enumerate(s.length.tolist()):
+            text = "".join(heads[k] + ",".join(tokens[ends[i] : ends[i + 1]]) for k, (tokens, ends) in texts.items() if ends[i + 1] > ends[i])
+            ma.append(f"{n}{text}" if text else None)
+        out["ma"] = pa.array(ma, pa.string())
+        wide = 3 if found.edged else 1
+        own = np.concatenate((np.repeat(nuc[0], wide), np.repeat(tf[0], 3)))
+        values = np.concatenate((np.stack(nuc[3 : 3 + wide], 1).ravel(), np.stack(tf[3:], 1).ravel()))
+        order = np.argsort(own, kind="stable")
+        out["ma_aq"] = lists(own[order], int32(values[order]), (per["nuc"] + per["tf"]) == 0)
+    own = s.owner(bound.start)
+    struct = pa.StructArray.from_arrays([int32(bound.start - s.first[own]), int32(bound.stop - bound.start), pa.array(bound.llr), int32(bound.opps), int32(q), int32(left), int32(right)], names=["start", "n", "llr", "opps", "q", "el", "er"])
+    return out | {"tf": lists(own, struct)}
+
+
 def by_molecule(s: Structure, found: Called) -> list[tuple[list, list, list]]:
     """(nucleosomes, patches, binding calls) of each molecule as rows (start, stop, bytes, …), by start."""
     out: list[tuple[list, list, list]] = [([], [], []) for _ in range(len(s.length))]
@@ -471,6 +531,24 @@ GIVEN = ("ns", "nl", "nq", "as", "al", "aq", "ma", "ma_aq", "an")
 READ = {"seq": "string", "mm": "string", "ml": "array<int>", "is_reverse": "boolean", "st": "string", "md": "string", "cigar": "array<struct<op:int,n:int>>", "ref_seq": "string"} | {t: "string" if t in ("ma", "an") else "array<int>" for t in GIVEN}
 
 
+def safe_worker(model: Model, second: Model, options: Options) -> Callable[[dict[str, list], list[str | None]], list[dict[str, object]] | dict[str, pa.Array]]:
+    """call_batch() that, where it fails, goes through the batch a read at a time, so that only the bad ones have an error."""
+
+    def safely(columns: dict[str, list], reasons: list[str | None]) -> list[dict[str, object]] | dict[str, pa.Array]:
+        try:
+            return call_batch(columns, list(reasons), model, second, options)
+        except Exception as error:
+            if len(reasons) == 1:
+                return [{"skip_reason": None, "error": f"{type(error).__name__}: {error}"}]
+            out = []
+            for i, reason in enumerate(reasons):
+                one = safely({n: [v[i]] for n, v in columns.items()}, [reason])
+                out += one if isinstance(one, list) else [{n: v[0].as_py() for n, v in one.items()}]
+            return out
+
+    return safely
+
+
 def reason_column(reads: DataFrame, options: Options) -> F.Column:
     """Why a row is passed by, null if it isn't; of columns that are there."""
     has, reason = set(reads.columns), F.lit(None).cast("string")
@@ -515,19 +593,12 @@ def call(reads: DataFrame, model: Model, options: Options = Options(), *, second
     for m in (model, second):  # one that doesn't fit is told at once
         check_symbols(m, options.k)
 
-    def safely(columns: dict[str, list], reasons: list[str | None]) -> list[dict[str, object]]:
-        try:
-            return call_batch(columns, list(reasons), model, second, options)
-        except Exception as error:
-            if len(reasons) == 1:
-                return [{"skip_reason": None, "error": f"{type(error).__name__}: {error}"}]
-            return [safely({n: [v[i]] for n, v in columns.items()}, [reasons[i]])[0] for i in range(len(reasons))]
-
+    safely = safe_worker(model, second, options)
     fields = schema_fields(OUTPUT)
     return map_batches(rows, lambda batches: in_parts(batches, len(kept), safely, fields), schema)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], n_kept: int, work: Callable[[dict[str, list], list[str | None]], list[dict[str, object]]], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+def in_parts(batches: Iterator[pa.RecordBatch], n_kept: int, work: Callable[[dict[str, list], list[str | None]], list[dict[str, object]] | dict[str, pa.Array]], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
     """Runs work() on some rows at a time, by bases; the first n_kept columns go along."""
     for whole in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(whole.column(n_kept)), 0), np.int64)
@@ -537,7 +608,10 @@ def in_parts(batches: Iterator[pa.RecordBatch], n_kept: int, work: Callable[[dic
             batch = whole.slice(a, b - a)
             columns = {c: numbers(batch.column(n_kept + i)) if c == "ml" else batch.column(n_kept + i).to_pylist() for i, c in enumerate(READ)}
             made = work(columns, batch.column(n_kept + len(READ)).to_pylist())
-            out = [pa.array([r.get(f.name) for r in made], f.type) for f in fields]
+            if isinstance(made, dict):
+                out = [made[f.name].cast(f.type) if f.name in made else pa.nulls(batch.num_rows, f.type) for f in fields]
+            else:
+                out = [pa.array([r.get(f.name) for r in made], f.type) for f in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *out], names=[*batch.schema.names[:n_kept], *[f.name for f in fields]])
 
 

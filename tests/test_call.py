@@ -427,8 +427,6 @@ def test_scores_and_failures(spark):
     rows = [(i, s, m, q, r) for i, (s, r, m, q) in enumerate(reads)] + [(50, "ACGT" * 30, "A+a,x;", [1], False), (51, "é" * 40, "A+a,0;", [200], False)]
     got = {r.read_id: r for r in call.call(spark.createDataFrame(rows, "read_id int, seq string, mm string, ml array<int>, is_reverse boolean"), model, o).collect()}
     assert all(r.error is None and len(r.nq or []) == len(r.ns) and len(r.aq) == len(r["as"]) for i, r in got.items() if i != 51 and r.skip_reason is None)
-    broken = call.in_parts  # a row that can't be worked on holds up no other
-    assert broken is not None
     calls = call.call(spark.createDataFrame([(1, "ACGT" * 40, None), (2, "ACGT" * 40, "CT")], "read_id int, seq string, st string"), model, call.replace(o, mode="daf"))
     assert {r.read_id: r.error for r in calls.collect()} == {1: None, 2: None}
     with pytest.raises(ValueError):
@@ -437,26 +435,21 @@ def test_scores_and_failures(spark):
 
 
 def test_one_bad_read_holds_up_no_other(spark, monkeypatch):
-    real = call.kept_marks
+    real = call.kept_places
 
     def sometimes(mm, *rest):
         if mm == "bad":
             raise ValueError("no such mark")
         return real(mm, *rest)
 
-    monkeypatch.setattr(call, "kept_marks", sometimes)
+    monkeypatch.setattr(call, "kept_places", sometimes)
     columns = {c: [None] * 3 for c in call.READ} | {"seq": ["ACGT" * 40] * 3, "mm": [None, "bad", None], "is_reverse": [False] * 3}
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), *[pa.array(columns[c], f.type) for c, f in zip(call.READ, call.schema_fields(", ".join(f"{c} {t}" for c, t in call.READ.items())))], pa.nulls(3, pa.string())], names=["id", *call.READ, "why"])
     o, model = call.Options(min_length=1), toy_model(3)
 
-    def safely(cols, reasons):
-        try:
-            return call.call_batch(cols, list(reasons), model, model, o)
-        except ValueError as error:
-            return [{"error": str(error)}] if len(reasons) == 1 else [safely({n: [v[i]] for n, v in cols.items()}, [reasons[i]])[0] for i in range(len(reasons))]
-
-    out = pa.Table.from_batches(list(call.in_parts(iter([batch]), 1, safely, call.schema_fields(call.OUTPUT)))).to_pylist()
-    assert [r["error"] for r in out] == [None, "no such mark", None] and out[0]["ns"] is not None and out[1]["ns"] is None
+    work = call.safe_worker(model, model, o)
+    out = pa.Table.from_batches(list(call.in_parts(iter([batch]), 1, work, call.schema_fields(call.OUTPUT)))).to_pylist()
+    assert [r["error"] for r in out] == [None, "ValueError: no such mark", None] and out[0]["ns"] is not None and out[1]["ns"] is None
 
 
 def test_circles(spark):
