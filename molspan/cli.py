@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -56,11 +57,15 @@ def read_input(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         rows = chosen.unionByName(rows.where("chrom IS NULL")) if getattr(a, "unmapped", False) else chosen
     if getattr(a, "train_reads", None):
         rows = models.flag_trained(rows, models.training_ids(spark, a.train_reads))
-    if getattr(a, "max_reads", None):
-        rows = rows.limit(a.max_reads)
     return rows
 
 
+def version_key(text: str) -> tuple[int, ...]:
+    """A version as numbers, so that 2.10 comes after 2.9; what follows the numbers is left out."""
+    m = re.match(r"v?(\d+(?:\.\d+)*)", text.strip())
+    return tuple(map(int, m[1].split("."))) if m else ()
+
+
 def write_output(spark: SparkSession, a: argparse.Namespace, rows: DataFrame, *, marker: bool = True) -> None:
     """--output as alignment files (with --format bam, which needs such an input) or Parquet."""
     if a.format == "parquet":
@@ -163,6 +168,8 @@ def called(spark: SparkSession, a: argparse.Namespace, tool: str) -> int:
             rows = alignments.with_reference(rows, alignments.reference(spark, a.reference))
     if a.dedup:
         rows = deduplicated(rows, flag=False).drop("di", "ds", "is_duplicate")
+    if a.max_reads:  # of those that are called
+        rows = rows.where(call.reason_column(rows, o).isNull()).limit(a.max_reads)
     second = None
     if tool == "call" and not a.model and a.enzyme:
         second = models.load(models.registered(a.models, a.enzyme, "recall", a.platform)).model

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molspan.functions.encoding import NUMBER, ORDER, contexts_at, iter_contexts
@@ -139,6 +139,26 @@ def joined_tables(accessible: DataFrame, protected: DataFrame, adjust: float = 1
     return both.select("context", *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) * adjust)).alias(c) for c in ("p_acc", "p_prot")])
 
 
+def joined_codes(accessible: DataFrame, protected: DataFrame, adjust: float = 1.0) -> DataFrame:
+    """joined_tables() of two tables (encode, ratio) that number contexts alike: (encode, p_acc, p_prot)."""
+    both = accessible.select("encode", F.col("ratio").alias("p_acc")).join(protected.select("encode", F.col("ratio").alias("p_prot")), "encode", "full").fillna(0.0)
+    return both.select("encode", *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) * adjust)).alias(c) for c in ("p_acc", "p_prot")])
+
+
+def save_counts(counts: DataFrame, path: str, *, k: int, centre: str) -> None:
+    """Counts by context, with k and centre beside them, in a Parquet folder."""
+    counts.withColumns({"k": F.lit(k), "centre": F.lit(centre)}).write.mode("overwrite").parquet(path)
+
+
+def load_counts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int, str]:
+    """(sums of the counts of several folders, k, centre); ValueError unless they agree in k and centre."""
+    rows = spark.read.parquet(*paths)
+    kinds = rows.select("k", "centre").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise ValueError(f"counts of several kinds can't be merged: {kinds}")
+    return rows.groupBy("context").agg(F.sum("hit").alias("hit"), F.sum("nohit").alias("nohit")), kinds[0]["k"], kinds[0]["centre"]
+
+
 def log_ratios(table: DataFrame, floor: float = 1e-30) -> DataFrame:
     """Adds llr_hit and llr_miss: protected against accessible, in natural logs."""
     ln = lambda x: F.log(F.greatest(x, F.lit(floor)))

@@ -337,6 +337,32 @@ def write_bed(reads: DataFrame, path: str, kinds: tuple[str, ...] = FEATURES, *,
         contigs.select(F.concat_ws("\t", "chrom", F.col("length").cast("string")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/chrom.sizes")
 
 
+def with_haplotypes(rows: DataFrame, reads: DataFrame) -> DataFrame:
+    """BED rows (name, …) with hp and ps of the reads of that name, -1 for none; ValueError if a name has several values.
+
+    reads: (read_id, hp, ps); of secondary and supplementary rows (by flag) nothing is taken.
+    """
+    from molspan.session import cut
+
+    primary = reads.where(F.coalesce(F.col("flag"), F.lit(0)).bitwiseAND(0x900) == 0) if "flag" in reads.columns else reads
+    told = primary.where("hp IS NOT NULL OR ps IS NOT NULL").groupBy(F.col("read_id").alias("__name")).agg(F.max("hp").alias("hp"), F.max("ps").alias("ps"), F.count_distinct(F.struct(F.coalesce("hp", F.lit(-1)), F.coalesce("ps", F.lit(-1)))).alias("__n"))
+    told = cut(told)
+    several = [r["__name"] for r in told.where("__n > 1").limit(5).collect()]
+    if several:
+        raise ValueError(f"several haplotypes for {several}")
+    columns = [c for c in rows.columns if c not in ("hp", "ps")]
+    bare = F.substring_index("name", "|", 1)  # pieces of circular features have more in their names
+    met = rows.select(*columns).join(told, bare == F.col("__name"), "left")
+    return met.select(*columns, F.coalesce("hp", F.lit(-1)).cast("int").alias("hp"), F.coalesce("ps", F.lit(-1)).cast("int").alias("ps"))
+
+
+def on_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """BED rows plus tid, the number of their contig in contigs (tid, chrom, length); rows beyond a contig's end or off all contigs raise when they are met."""
+    met = rows.join(F.broadcast(contigs.select("chrom", "tid", F.col("length").alias("__length"))), "chrom", "left")  # one row a contig
+    bad = F.col("tid").isNull() | (F.col("chromEnd") > F.col("__length"))
+    return met.withColumn("tid", F.when(bad, F.raise_error(F.concat(F.lit("not on a contig: "), F.col("name"))).cast("int")).otherwise(F.col("tid"))).drop("__length")
+
+
 def joined_blocks(rows: DataFrame) -> DataFrame:
     """features() rows with touching or overlapping blocks as one, and one-base blocks at chromStart and chromEnd if none begins or ends there.
 

@@ -136,3 +136,18 @@ def coverage(start: int, stop: int) -> Column:
     """array<float>: 1 for each base of a region that a footprint of the row (fp_starts, fp_sizes) holds, else 0."""
     zipped = F.arrays_zip("fp_starts", "fp_sizes")
     return F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda p: F.exists(zipped, lambda x: (x["fp_starts"] <= p) & (p < x["fp_starts"] + x["fp_sizes"])).cast("float"))
+
+
+def lines_to_tables(spark: SparkSession, paths: list[str], out: str, **about: object) -> None:
+    """Several folders of posterior lines as one of tables by contig; of molecules that are in more than one, one row."""
+    from molspan.sources.tables import read_posteriors
+
+    rows = None
+    for path in paths:
+        part = read_posteriors(spark, path)
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError("nothing to read")
+    one = rows.dropDuplicates(["read_id", "chrom", "start"])
+    starts, sizes = F.transform("footprints", lambda x: x["start"].cast("int")), F.transform("footprints", lambda x: (x["stop"] - x["start"]).cast("int"))
+    save(one.select("read_id", "chrom", "start", "stop", "strand", F.col("posterior").cast("array<float>").alias("posterior"), starts.alias("fp_starts"), sizes.alias("fp_sizes")), out, **about)
