@@ -48,18 +48,21 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     yield from zip(bounds[:-1], bounds[1:])
 
 
-#: Bits of a key filter, whatever the number of keys; it is kept in blocks of so many.
-FILTER_BITS, FILTER_BLOCK = 1 << 27, 1 << 17
+#: Bits of a key filter for each key, and at most in all; it is kept in blocks of so many.
+KEY_BITS, FILTER_BITS, FILTER_BLOCK = 16, 1 << 27, 1 << 17
 
 
-def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size with the bit pmod(key, bits) set for each of keys (key long, evenly spread).
+def key_filter(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bitmap with the bit pmod(key, bits) set for each of keys (key long, evenly spread; written first).
 
-    Only blocks of bits reach the driver, ``bits`` / 8 bytes in all, however many keys there
+    bits: a power of two, by default that from KEY_BITS for each key on, FILTER_BITS at most. Only
+    blocks of bits reach the driver, FILTER_BITS / 8 bytes in all, however many keys there
     are. A key that is there is always found. Another is taken for one that is there with
-    a chance that grows with the number of keys, so the bitmap only spares later stages some
-    rows: they must be right with all of them.
+    a chance that grows once the number of keys goes beyond that bound, so the bitmap only
+    spares later stages some rows: they must be right with all of them.
     """
+    if bits is None:
+        bits = min(FILTER_BITS, max(FILTER_BLOCK, 1 << (KEY_BITS * keys.count()).bit_length()))
     block = min(FILTER_BLOCK, bits)
     place = F.pmod(F.col("key"), F.lit(bits))
     dealt = keys.select(F.floor(place / block).cast("int").alias("block"), F.pmod(place, F.lit(block)).cast("int").alias("bit")).distinct()
