@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch, at most: texts and sequences are long, and a batch is held whole in the JVM and in Python.
 BATCH_ROWS = 2_000
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16 << 20
 
 _workspaces: set[str] = set()
 
@@ -66,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     again after an executor is lost reads the same rows.
     """
     path = new_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a task holds a row group in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
