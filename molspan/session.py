@@ -48,10 +48,11 @@ def workspace(spark: SparkSession) -> str:
     path = f"{use_shared_folder(spark).rstrip('/')}/molspan-{spark.sparkContext.applicationId}"
     if path not in _workspaces:
         _workspaces.add(path)
+        where, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
 
-        def clean() -> None:
-            with contextlib.suppress(Exception):  # the JVM may have gone before
-                remove(spark, path)
+        def clean() -> None:  # also after the session was stopped, as long as there is a JVM
+            with contextlib.suppress(Exception):
+                where.getFileSystem(conf).delete(where, True)
 
         atexit.register(clean)
     return path
