@@ -26,9 +26,18 @@ def clusters(sets: DataFrame, *, group: str, threshold: float = 0.8, bands: int
     rows_in = cut(kept.withColumn("same", F.xxhash64("scope", "items")))
     # one row for each distinct set: hashes tell which rows may have a twin, the sets themselves which do
     maybe = cut(rows_in.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    twins = lookup(rows_in, maybe, ["same"], "n").drop("n")
-    repeated = cut(twins.groupBy("same", "scope", "items").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    twins = lookup(twins, repeated, ["same", "scope", "items"], "n").select("id", "first")
+    held = lookup(rows_in, maybe, ["same"], "n").drop("n")
+    kinds = held.groupBy("same", "scope", "items").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = cut(kinds.select("same", "first", "n"))
+    clash = cut(kinds.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same"))
+    alike = kinds.where("n > 1")
+    if not clash.isEmpty():  # sets of one hash that differ are told apart by themselves
+        alike = alike.join(clash, "same", "left_anti")
+    twins = lookup(held.select("id", "same"), cut(alike), ["same"], "n").select("id", "first")
+    if not clash.isEmpty():
+        some = held.join(clash, "same", "left_semi")
+        firsts = some.groupBy("same", "scope", "items").agg(F.min("id").alias("first"))
+        twins = twins.unionByName(some.join(firsts, ["same", "scope", "items"]).select("id", "first"))
     twins = cut(twins.where("id <> first"))
     alone = rows_in.join(twins.select("id"), "id", "left_anti")
     rows = rows_of_band(threshold, bands)

@@ -40,3 +40,13 @@ def test_clusters_of_chains_against_all_pairs(spark):
             label[a] = label[b] = min(label[a], label[b])
     found = duplicates.clusters(spark.createDataFrame(rows, "id long, lang string, items array<long>"), group="lang")
     assert {r.id: r.cluster for r in found.collect()} == label
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)) if c == ("scope", "items") else real(*c))
+    rows = [(i, "x", list(range(i // 3 * 100, i // 3 * 100 + 20))) for i in range(30)] + [(99, "x", list(range(5000, 5020)))]
+    found = duplicates.clusters(spark.createDataFrame(rows, "id long, lang string, items array<long>"), group="lang")
+    assert {r.id: (r.cluster, r.size) for r in found.collect()} == {i: (i // 3 * 3, 3) for i in range(30)} | {99: (99, 1)}
