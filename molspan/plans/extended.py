@@ -77,8 +77,9 @@ def fn10(spark, sf_dir):
 
 @query("q_fn11_stamp", f"WITH {seqs_sql()}, c AS (SELECT read_id, length(seq) AS n, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM seqs) SELECT read_id, string_agg(CASE WHEN i % 7 = 3 THEN 'Y' ELSE c END, '' ORDER BY i) AS seq FROM c GROUP BY read_id")
 def fn11(spark, sf_dir):
-    whole = seqs_of(spark, sf_dir).where("seq <> ''")
-    every = F.filter(F.sequence(F.lit(0).cast("bigint"), F.length("seq").cast("bigint") - 1), lambda i: i % 7 == 3)
+    whole = seqs_of(spark, sf_dir).where("seq IS NOT NULL")
+    at = F.when(F.length("seq") > 0, F.sequence(F.lit(0).cast("bigint"), F.length("seq").cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    every = F.filter(at, lambda i: i % 7 == 3)
     return whole.select("read_id", alignment.stamp(F.col("seq"), every, "Y").alias("seq"))
 
 
