@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,8 +141,11 @@ def symbols(seq: Column, positions: Column, *, mode: str, k: int = 3, trim: int
     @F.arrow_udf("array<int>")
     def encode(seq: pa.Array, positions: pa.Array, reverse: pa.Array, strand: pa.Array) -> pa.Array:
         data, length = bytes_of(seq)
-        found = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in positions.to_pylist()]
-        codes = observe(NUMBER[resolved(upper(data))], length, mark_mask(length, found), mode=mode, k=k, trim=trim, reverse=np.array([bool(x) for x in reverse.to_pylist()], bool), strand=strand.to_pylist())
+        at, row = np.asarray(positions.flatten(), np.int64), np.repeat(np.arange(len(length)), np.asarray(pc.fill_null(pc.list_value_length(positions), 0), np.int64))
+        inside = (at >= 0) & (at < length[row])
+        marked = np.zeros(int(length.sum()), bool)
+        marked[(np.cumsum(length) - length)[row[inside]] + at[inside]] = True
+        codes = observe(NUMBER[resolved(upper(data))], length, marked, mode=mode, k=k, trim=trim, reverse=np.asarray(pc.fill_null(reverse, False), bool), strand=strand.to_pylist())
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(codes, pa.int32()))
 
     return encode(seq, positions.cast("array<int>"), F.lit(False) if reverse is None else reverse, F.lit(None).cast("string") if strand is None else strand)
