@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,94 @@ def kept_marks(*read: object, **choice: object) -> np.ndarray:
     return np.unique(kept_places(*read, **choice))
 
 
+#: MM texts that parse_batch() reads all at once; others are read one by one.
+PLAIN = r"^(?:(?:[A-Za-z][+-][A-Za-z0-9?.]*(?:,[0-9]{1,9})*)?;)*(?:[A-Za-z][+-][A-Za-z0-9?.]*(?:,[0-9]{1,9})*)?$"
+
+
+class Found(NamedTuple):
+    """Marks of a batch, by row and then in the text's order; base and code are ASCII numbers (code 0: none)."""
+
+    row: np.ndarray
+    base: np.ndarray
+    code: np.ndarray
+    at: np.ndarray
+    quality: np.ndarray
+
+
+def parse_batch(mm: pa.Array, ml: pa.Array, seq: pa.Array, reverse: pa.Array) -> Found:
+    """parse() of all rows of a batch at once."""
+    data, length = bytes_of(seq)
+    data, edge = upper(data), np.concatenate(([0], np.cumsum(length)))
+    turned = np.asarray(pc.fill_null(reverse, False), bool)
+    flat, sizes, there = ml.flatten(), np.asarray(pc.fill_null(pc.list_value_length(ml), 0), np.int64), np.asarray(pc.is_valid(ml))
+    named = there & np.asarray(pc.fill_null(pc.not_equal(mm, ""), False))
+    plain = named & np.asarray(pc.fill_null(pc.match_substring_regex(mm, PLAIN), False)) if not flat.null_count else np.zeros(len(mm), bool)
+    parts = [plain_marks(np.flatnonzero(plain), mm, np.asarray(flat), np.cumsum(sizes) - sizes, sizes, data, edge, turned)]
+    odd = np.flatnonzero(named & ~plain)
+    if len(odd):
+        pick = pa.array(odd)
+        for r, read in zip(odd.tolist(), each_read(mm.take(pick), ml.take(pick), seq.take(pick), reverse.take(pick))):
+            for base, code, at, quality in parse(*read):
+                parts.append(Found(*[np.full(len(at), x, np.int64) for x in (r, ord(base[0]), ord(code or "\0"))], at, quality))
+        joined = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(joined[0], kind="stable")
+        return Found(*[x[order] for x in joined])
+    return parts[0]
+
+
+def plain_marks(rows: np.ndarray, mm: pa.Array, ml: np.ndarray, ml_first: np.ndarray, ml_size: np.ndarray, data: np.ndarray, edge: np.ndarray, turned: np.ndarray) -> Found:
+    """parse_batch() of rows whose texts are PLAIN."""
+    specs = pc.split_pattern(mm.take(pa.array(rows, pa.int64())), ";")
+    tokens = pc.split_pattern(specs.flatten(), ",")
+    owner = np.repeat(rows, np.asarray(pc.list_value_length(specs), np.int64))
+    count = np.asarray(pc.list_value_length(tokens), np.int64) - 1
+    first = np.cumsum(count + 1) - count - 1
+    words = tokens.flatten()
+    some = count > 0
+    first, count, owner = first[some], count[some], owner[some]
+    heads = words.take(pa.array(first)).cast(pa.binary())
+    head = np.frombuffer(b"".join(h[:3].ljust(3, b"\0") for h in heads.to_pylist()), np.uint8).reshape(-1, 3)
+    base, code = upper(head[:, 0]).astype(np.int64), head[:, 2].astype(np.int64)
+    spec = np.repeat(np.arange(len(count)), count)
+    starts = np.cumsum(count) - count
+    k = np.arange(len(spec)) - starts[spec]
+    skips = np.asarray(words.take(pa.array(first[spec] + 1 + k)).cast(pa.int64()), np.int64)
+    sums = np.concatenate(([0], np.cumsum(skips)))
+    ordinal = sums[1:] - sums[starts[spec]] + k
+    row = owner[spec]
+    # qualities are taken in the text's order over all specifications of a row
+    leads = np.searchsorted(row, row, "left")
+    nth = np.arange(len(row)) - leads
+    told = nth < ml_size[row]
+    spec, row, ordinal, nth = spec[told], row[told], ordinal[told], nth[told]
+    quality = np.asarray(ml[ml_first[row] + nth], np.int64)
+    complement = np.frombuffer(bytes(range(256)).translate(COMPLEMENT), np.uint8)
+    back = turned[row]
+    wanted = np.where(back, complement[base[spec]], base[spec])
+    at = np.full(len(row), -1, np.int64)
+    for letter in np.unique(wanted).tolist():
+        these = np.flatnonzero(wanted == letter)
+        places = np.flatnonzero(data == letter)
+        before = np.concatenate(([0], np.cumsum(data == letter)))
+        r = row[these]
+        low, high = before[edge[r]], before[edge[r + 1]]
+        index = np.where(back[these], high - 1 - ordinal[these], low + ordinal[these])
+        good = ordinal[these] < high - low
+        at[these[good]] = places[index[good]] - edge[r[good]]
+    on = at >= 0
+    return Found(row[on], base[spec[on]], code[spec[on]], at[on], quality[on])
+
+
+def kept_lists(found: Found, rows: int, length: int, threshold: int, mode: str, codes: str | None = None) -> pa.ListArray:
+    """array<int> of kept_marks() for each row of a batch; length: of the longest read at least."""
+    good = (found.quality >= threshold) & np.isin(found.base, list(ADMITTED[ALIASES.get(mode, mode)].encode()))
+    if codes is not None:
+        good &= np.isin(found.code, [ord(c) for c in codes]) | (found.code == 0)
+    line = np.unique(found.row[good] * max(length, 1) + found.at[good])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(line // max(length, 1), minlength=rows))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(line % max(length, 1), pa.int32()))
+
+
 def mm_text(seq: np.ndarray, reverse: bool, base: str, code: str, positions: np.ndarray) -> str:
     """The specification that marks positions of one kind of base; positions of other bases are left out."""
     wanted = base.encode().translate(COMPLEMENT) if reverse else base.encode()
@@ -129,7 +218,8 @@ def marks(mm: Column, ml: Column, seq: Column, reverse: Column, *, mode: str, th
 
     @F.arrow_udf("array<int>")
     def find(mm: pa.Array, ml: pa.Array, seq: pa.Array, reverse: pa.Array) -> pa.Array:
-        return to_lists([kept_marks(*r, threshold, mode, codes) for r in each_read(mm, ml, seq, reverse)], pa.int32())
+        longest = pc.max(pc.binary_length(seq)).as_py() or 0
+        return kept_lists(parse_batch(mm, ml, seq, reverse), len(seq), longest, threshold, mode, codes)
 
     return find(mm, ml.cast("array<int>"), seq, reverse)
 
@@ -140,16 +230,9 @@ def marks_by_kind(reads: DataFrame, *, id_col: str = "read_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, base, code, at, q = [], [], [], [], []
-            for i, read in enumerate(each_read(*batch.columns[1:])):
-                for b, c, p, quality in parse(*read):
-                    who.append(np.full(len(p), i))
-                    base += [b] * len(p)
-                    code += [c] * len(p)
-                    at.append(p)
-                    q.append(quality)
-            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(flat(who), pa.int64())), pa.array(base, pa.string()), pa.array(code, pa.string()), pa.array(flat(at), pa.int32()), pa.array(flat(q), pa.int32())], names=[id_col, "base", "code", "pos", "quality"])
+            found = parse_batch(*batch.columns[1:])
+            text = lambda x: pa.array([*map(chr, (u := np.unique(x, return_inverse=True))[0].tolist())], pa.string()).take(pa.array(u[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.row)), text(found.base), pc.replace_substring(text(found.code), "\0", ""), pa.array(found.at, pa.int32()), pa.array(found.quality, pa.int32())], names=[id_col, "base", "code", "pos", "quality"])
 
     return map_batches(reads.select(id_col, "mm", F.col("ml").cast("array<int>").alias("ml"), "seq", "is_reverse"), run, f"`{id_col}` {kind}, base string, code string, pos int, quality int")
 
