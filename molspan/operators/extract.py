@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molspan.functions.marks import aligned, bytes_of, md_fits, md_reference, numbers, parse, schema_fields, upper
+from molspan.functions.marks import IN_READ, IN_REFERENCE, Found, bytes_of, md_fits, md_reference, parse_batch, schema_fields, upper
 from molspan.functions.sequences import sample_token
 from molspan.session import map_batches
 
@@ -82,16 +84,10 @@ def circular_parts(rows: list[dict[str, object]], length: int) -> list[dict[str,
 
 
 class Molecule:
-    """A read's columns, and where its bases lie on the reference (worked out once for all features)."""
-
-    def __init__(self, row: dict[str, object], seq: np.ndarray) -> None:
-        self.row, self.seq = row, seq
-        ops = [(x["op"], x["n"]) for x in row["cigar"] or []]
-        self.ops = ops
-        size = max(len(seq), sum(n for op, n in ops if op in (0, 1, 4, 7, 8)))
-        self.on = np.full(size, -1, np.int64)
-        at, offset = aligned(ops)
-        self.on[at] = offset + int(row["ref_start"] if row["ref_start"] is not None else -1)
+    """A read's columns, and where its bases lie on the reference (on: a place a base, -1 for those off it)."""
+
+    def __init__(self, row: dict[str, object], seq: np.ndarray, on: np.ndarray) -> None:
+        self.row, self.seq, self.on = row, seq, on
         self.reverse = bool(row["is_reverse"])
 
     def block(self, start: int, n: int) -> tuple[int, int] | None:
@@ -101,11 +97,6 @@ class Molecule:
         a, b = int(self.on[start]), int(self.on[start + n - 1])
         return None if a < 0 or b < 0 else (min(a, b), max(a, b) + 1)
 
-    def places(self, at: np.ndarray) -> np.ndarray:
-        """Reference places of bases; -1 for those off it."""
-        inside = (at >= 0) & (at < len(self.on))
-        return np.where(inside, self.on[np.where(inside, at, 0)], -1)
-
     def turned(self, start: int, n: int, length: int) -> int:
         return length - start - n if self.reverse else start
 
@@ -160,39 +151,74 @@ def intervals_of(m: Molecule, feature: str, *, scored: bool, min_tq: int, circle
         yield line(m, feature, blocks, int(sum(b[2][0] for b in blocks) / len(blocks)) if scored else 0, n_scores)
 
 
-def marks_of(m: Molecule, feature: str, threshold: int) -> Iterator[Row]:
-    found = []
-    ml = m.row["ml"]
-    for _, code, at, q in parse(m.row["mm"], ml, m.seq, m.reverse):
-        if code == LETTER[feature]:
-            place = m.places(at)
-            good = (q >= threshold) & (place >= 0)
-            found += zip(place[good].tolist(), q[good].tolist())
-    if found:
-        yield line(m, feature, [(p, p + 1, [q]) for p, q in found], int(sum(q for _, q in found) / len(found)), 1)
-
-
-def deaminations_of(m: Molecule, threshold: int) -> list[tuple[int, int]]:
-    """(reference place, 1 for C>T or 0 for G>A): of marked U, else of Y and R, else of the MD text; the first that has any."""
-    found: list[tuple[int, int]] = []
-
-    def add(at: np.ndarray, kind: int) -> None:
-        place = m.places(at)
-        found.extend((p, kind) for p in place[place >= 0].tolist())
-
-    for base, code, at, q in parse(m.row["mm"], m.row["ml"], m.seq, m.reverse):
-        if code == "u" and base in "CG":
-            add(at[q >= threshold], int(base == "C"))
-    if not found:
-        add(np.flatnonzero(m.seq == 89), 1)
-        add(np.flatnonzero(m.seq == 82), 0)
-    if not found and m.row["md"] and m.ops and md_fits(m.row["md"], m.ops):
-        at, ref = md_reference(m.row["md"], m.ops, m.seq)
-        inside = at < len(m.seq)
-        at, ref = at[inside], ref[inside]
-        add(at[(ref == 67) & (m.seq[at] == 84)], 1)
-        add(at[(ref == 71) & (m.seq[at] == 65)], 0)
-    return found
+def laid(cigar: pa.Array, ref_start: pa.Array, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places on the reference, edges) of the bases of all reads of a batch end to end; -1 off the reference."""
+    ops, count = cigar.flatten(), np.asarray(pc.fill_null(pc.list_value_length(cigar), 0), np.int64)
+    op, n = np.asarray(ops.field(0), np.int64), np.maximum(np.asarray(ops.field(1), np.int64), 0)
+    row, ends = np.repeat(np.arange(len(count)), count), np.concatenate(([0], np.cumsum(count)))
+    read, reference = np.isin(op, IN_READ), np.isin(op, IN_REFERENCE)
+    sums = [np.concatenate(([0], np.cumsum(np.where(x, n, 0)))) for x in (read, reference)]
+    edge = np.concatenate(([0], np.cumsum(np.maximum(length, sums[0][ends[1:]] - sums[0][ends[:-1]]))))
+    q, r = (x[:-1] - x[ends[row]] for x in sums)
+    first = np.asarray(pc.fill_null(ref_start, -1), np.int64)
+    both = np.flatnonzero(read & reference)
+    i = np.arange(n[both].sum()) - np.repeat(np.cumsum(n[both]) - n[both], n[both])
+    on = np.full(edge[-1], -1, np.int64)
+    on[np.repeat(edge[row[both]] + q[both], n[both]) + i] = np.repeat(first[row[both]] + r[both], n[both]) + i
+    return on, edge
+
+
+class Spots(NamedTuple):
+    """Marks on the reference: number of the read, place, and a value each."""
+
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+
+def placed(row: np.ndarray, at: np.ndarray, value: np.ndarray, on: np.ndarray, edge: np.ndarray) -> Spots:
+    inside = (at >= 0) & (at < edge[row + 1] - edge[row])
+    place = np.where(inside, on[np.where(inside, edge[row] + at, 0)] if len(on) else -1, -1)
+    return Spots(row[place >= 0], place[place >= 0], value[place >= 0])
+
+
+def deaminations(found: Found, data: np.ndarray, length: np.ndarray, md: list[str | None], cigar: pa.Array, on: np.ndarray, edge: np.ndarray, threshold: int) -> Spots:
+    """Values 1 for C>T and 0 for G>A, of marked U, else of Y and R, else of the MD text; for each read the first that has any."""
+    u = (found.code == 117) & np.isin(found.base, (67, 71)) & (found.quality >= threshold)
+    parts = [placed(found.row[u], found.at[u], (found.base[u] == 67).astype(np.int64), on, edge)]
+    first = np.cumsum(length) - length
+    without = np.bincount(parts[0].row, minlength=len(length)) == 0
+    for letter, kind in ((89, 1), (82, 0)):
+        at = np.flatnonzero(data == letter)
+        row = np.searchsorted(first + length, at, "right")
+        at, row = at[without[row]], row[without[row]]
+        parts.append(placed(row, at - first[row], np.full(len(at), kind, np.int64), on, edge))
+    for i in np.flatnonzero(sum(np.bincount(x.row, minlength=len(length)) for x in parts) == 0).tolist():
+        ops = [(x["op"], x["n"]) for x in cigar[i].as_py() or []] if md[i] else []
+        if ops and md_fits(md[i], ops):
+            at, ref = md_reference(md[i], ops, seq := data[first[i] : first[i] + length[i]])
+            at, ref = at[at < len(seq)], ref[at < len(seq)]
+            for old, now, kind in ((67, 84, 1), (71, 65, 0)):
+                here = at[(ref == old) & (seq[at] == now)]
+                parts.append(placed(np.full(len(here), i), here, np.full(len(here), kind, np.int64), on, edge))
+    return Spots(*[np.concatenate(x) for x in zip(*parts)])
+
+
+def spot_rows(spots: Spots, feature: str, batch: pa.RecordBatch, tails: dict[str, pa.Array], fields: list[pa.Field], score: int | None = None) -> pa.RecordBatch:
+    """Rows of ROW with a block of one base for each spot; score: the mean value if None."""
+    order = np.lexsort((spots.place, spots.row))
+    row, place, value = (x[order] for x in spots)
+    who, first, count = np.unique(row, return_index=True, return_counts=True)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(x, pa.int32()))
+    a, b = place[first], place[first + count - 1] + 1
+    mean = np.add.reduceat(value, first) // count if len(who) else count
+    same = lambda x: pa.array([x] * len(who), pa.string() if isinstance(x, str) else pa.int32())
+    read = lambda name: batch.column(list(READ).index(name)).take(pa.array(who, pa.int64()))
+    kept = {
+        "feature": same(feature), "chrom": read("chrom"), "chromStart": a, "chromEnd": b, "name": read("read_id"), "score": mean if score is None else same(score), "strand": pc.if_else(pc.fill_null(read("is_reverse"), False), "-", "+"), "thickStart": a, "thickEnd": b, "reserved": same(0),
+        "blockCount": count, "blockSizes": lists(np.ones(len(place))), "chromStarts": lists(place - np.repeat(a, count)), "s1": lists(value), "s2": None, "s3": None, "circId": same("."), "circPart": same(1), "circParts": same(1), "molStart": same(0), "molLength": same(0),
+    } | {t: x.take(pa.array(who, pa.int64())) for t, x in tails.items()}
+    return pa.RecordBatch.from_arrays([pa.nulls(len(who), f.type) if (x := kept[f.name]) is None else pa.array(x, f.type) if isinstance(x, np.ndarray) else x for f in fields], names=[f.name for f in fields])
 
 
 # The operator
@@ -217,22 +243,30 @@ def features(reads: DataFrame, kinds: tuple[str, ...] = FEATURES, *, scored: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, length = bytes_of(batch.column(list(READ).index("seq")))
-            data, at, out = upper(data), 0, []
-            columns = {c: numbers(batch.column(i)) if c == "ml" else batch.column(i).to_pylist() for i, c in enumerate(READ)}
+            get = dict(zip(READ, batch.columns))
+            data, length = bytes_of(get["seq"])
+            data = upper(data)
+            on, edge = laid(get["cigar"], get["ref_start"], length)
+            tails = {t: pc.if_else(pc.fill_null(pc.and_(pc.greater_equal(get[t], -(2**31)), pc.less(get[t], 2**31)), False), get[t], pa.scalar(-1, pa.int64())).cast(pa.int32()) for t in ("hp", "ps")}
+            if set(kinds) - set(KIND):
+                found = parse_batch(get["mm"], get["ml"], get["seq"], get["is_reverse"])
+            for kind in kinds:
+                if kind in LETTER:
+                    good = (found.code == ord(LETTER[kind])) & (found.quality >= threshold)
+                    yield spot_rows(placed(found.row[good], found.at[good], found.quality[good], on, edge), kind, batch, tails, fields)
+                elif kind == "deam":
+                    yield spot_rows(deaminations(found, data, length, get["md"].to_pylist(), get["cigar"], on, edge, threshold), kind, batch, tails, fields, 255)
+            if not set(kinds) & set(KIND):
+                continue
+            needed = ("read_id", "chrom", "is_reverse", "ns", "nl", "nq", "as", "al", "aq", "ma", "ma_aq", "an")
+            columns = {c: [None] * batch.num_rows if get[c].null_count == batch.num_rows else get[c].to_pylist() for c in needed}
+            first, out, more = (np.cumsum(length) - length).tolist(), [], [tails[t].to_pylist() for t in ("hp", "ps")]
             for i, n in enumerate(length.tolist()):
-                m = Molecule({c: v[i] for c, v in columns.items()}, data[at : at + n])
-                at += n
-                tail = {t: v if (v := m.row[t]) is not None and -(2**31) <= v < 2**31 else -1 for t in ("hp", "ps")}
+                m = Molecule({c: v[i] for c, v in columns.items()}, data[first[i] : first[i] + n], on[edge[i] : edge[i + 1]])
+                tail = {"hp": more[0][i], "ps": more[1][i]}
                 for kind in kinds:
                     if kind in KIND:
-                        found = list(intervals_of(m, kind, scored=scored, min_tq=min_tq, circles=circles))
-                    elif kind in LETTER:
-                        found = list(marks_of(m, kind, threshold))
-                    else:
-                        spots = deaminations_of(m, threshold)
-                        found = [line(m, kind, [(p, p + 1, [k]) for p, k in spots], 255, 1)] if spots else []
-                    out += [r | tail for r in found]
+                        out += [r | tail for r in intervals_of(m, kind, scored=scored, min_tq=min_tq, circles=circles)]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in fields], names=[f.name for f in fields])
 
     return map_batches(rows, run, ROW)
