@@ -30,6 +30,20 @@ def complement(rows: DataFrame, by: list[str], span: DataFrame, least: int = 1)
     return gaps.unionByName(tail).where(F.col("stop") - F.col("start") >= max(1, least))
 
 
+def holding(points: DataFrame, spaces: DataFrame, by: list[str]) -> DataFrame:
+    """points (*by, pos, …) that one of ``spaces`` (*by, start, stop) without overlaps holds, with its start and stop.
+
+    Both are swept together by position, so nothing is laid out by base.
+    """
+    named = F.struct("start", "stop")
+    kinds = [(c, t) for c, t in points.dtypes if c not in (*by, "pos")]
+    ends = spaces.where("stop > start").select(*by, F.col("start").alias("pos"), *[F.lit(None).cast(t).alias(c) for c, t in kinds], named.alias("__space"), F.lit(0).alias("__point"))
+    dots = points.select(*by, "pos", *[c for c, _ in kinds], F.lit(None).cast(ends.schema["__space"].dataType).alias("__space"), F.lit(1).alias("__point"))
+    w = Window.partitionBy(*by).orderBy("pos", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    met = dots.unionByName(ends).withColumn("__space", F.last("__space", ignorenulls=True).over(w)).where((F.col("__point") == 1) & (F.col("pos") < F.col("__space.stop")))
+    return met.select(*points.columns, "__space.start", "__space.stop")
+
+
 def clamp(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
     out = rows.withColumns({"start": F.greatest("start", lo), "stop": F.least("stop", hi)})
     return out.where("stop > start")

@@ -157,8 +157,8 @@ def jn08(spark, sf_dir):
 @query("q_jn12_scan_spaces", MERGED + f""", {OBS} SELECT m.read_id, m.start, m.stop, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM merged m JOIN obs o ON o.read_id = m.read_id AND o.pos >= m.start AND o.pos < m.stop GROUP BY 1, 2, 3""")
 def jn12(spark, sf_dir):
     spaces = intervals.merge(intervals_of(spark, sf_dir), ["read_id"])
-    bases = spaces.select("read_id", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"))
-    return obs_of(spark, sf_dir).join(bases, ["read_id", "pos"]).groupBy("read_id", "start", "stop").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    held = intervals.holding(obs_of(spark, sf_dir).select("read_id", "pos", "hit"), spaces, ["read_id"])
+    return held.groupBy("read_id", "start", "stop").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
 
 
 # Circles of 400 bases
