@@ -16,18 +16,33 @@ from molspan.session import cut
 from .intervals import complement, merge, without_overlap
 from .segments import segment_scan
 
+#: Bases that a task of scan_within() has on average, where the number of tasks goes by rows.
+PART_ROWS = 500_000
 
-def scan_within(obs: DataFrame, spaces: DataFrame, by: list[str], *, turned: bool = False, **limits) -> DataFrame:
+
+def scan_within(obs: DataFrame, spaces: DataFrame, by: list[str], *, turned: bool = False, parts: int | None = None, **limits) -> DataFrame:
     """segment_scan inside each of spaces (*by, a, b), which may overlap; calls carry a and b.
 
     Spaces are laid out by base, so the join is by equal positions and its rows are the
-    bases looked at. turned: evidence for accessible stretches.
+    bases looked at. turned: evidence for accessible stretches. parts: numbers of tasks that
+    the rows are dealt to, by parts_for(); without it the session's settings decide, and
+    they may put any number of rows, which are short when shuffled, in one task.
     """
     bases = spaces.where("b > a").select(*by, "a", "b", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("pos"))
-    rows = obs.select(*by, "pos", "step", "hit", "opp").join(bases, [*by, "pos"])
+    seen = obs.select(*by, "pos", "step", "hit", "opp")
+    if parts is not None:
+        seen, bases = (x.repartition(parts, *by, "pos") for x in (seen, bases))
+    rows = seen.join(bases, [*by, "pos"])
+    if parts is not None:
+        rows = rows.repartition(parts, *by, "a", "b")
     return segment_scan(rows.withColumn("step", -F.col("step")) if turned else rows, [*by, "a", "b"], **limits)
 
 
+def parts_for(obs: DataFrame, rows: int = PART_ROWS) -> int:
+    """Tasks for scan_within() over obs, whose rows are counted: so many that a task has ``rows`` of them."""
+    return max(1, -(-obs.count() // rows))
+
+
 def split(spaces: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
     """(*by, a, b): what the cuts (*by, a, b, start, stop) leave of spaces (*by, a, b)."""
     keys = [*by, "a", "b"]
@@ -54,14 +69,14 @@ def phase_cuts(spaces: DataFrame, obs: DataFrame, by: list[str], repeat: float,
     return windows.join(best, [*by, "lo", "hi"]).select(*by, "a", "b", "c.start", "c.stop")
 
 
-def refine(spaces: DataFrame, obs: DataFrame, by: list[str], *, least: int = 85, min_llr: float = 2.0, min_opps: int = 2) -> DataFrame:
+def refine(spaces: DataFrame, obs: DataFrame, by: list[str], *, least: int = 85, min_llr: float = 2.0, min_opps: int = 2, parts: int | None = None) -> DataFrame:
     """(*by, a, b, start, stop, nq, el, er) of stretches (*by, a, b): their protected core.
 
     A stretch without evidence is its own core with bytes 0. start and stop are null where
     the stretch or its core is under ``least``: all of it is accessible then.
     """
     keys = [*by, "a", "b"]
-    calls = scan_within(obs, spaces, by, min_llr=min_llr, min_opps=min_opps)
+    calls = scan_within(obs, spaces, by, parts=parts, min_llr=min_llr, min_opps=min_opps)
     core = calls.groupBy(*keys).agg(F.min("start").alias("s"), F.max("stop").alias("e"), F.sum("llr").alias("llr"), F.min_by("left_amb", "start").alias("l"), F.max_by("right_amb", "start").alias("r"))
     rows = spaces.select(*keys).join(core, keys, "left")
     start, stop = F.coalesce("s", "a"), F.coalesce("e", "b")

@@ -102,7 +102,7 @@ g AS (SELECT sp.read_id, sp.a AS a, b, coalesce(lag(c.stop) OVER (PARTITION BY s
 SELECT read_id, lo AS a, hi AS b FROM g WHERE hi > lo UNION ALL SELECT read_id, max(stop), b FROM g WHERE stop IS NOT NULL GROUP BY read_id, a, b HAVING b > max(stop)""")
 def iv11(spark, sf_dir):
     seen, spaces = footprints_of(spark, sf_dir)
-    cuts = cut(recall.scan_within(seen, spaces, ["read_id"], turned=True, min_llr=4.0).select("read_id", "a", "b", "start", "stop"))
+    cuts = cut(recall.scan_within(seen, spaces, ["read_id"], turned=True, parts=recall.parts_for(seen), min_llr=4.0).select("read_id", "a", "b", "start", "stop"))
     return recall.split(spaces, cuts, ["read_id"])
 
 
@@ -118,7 +118,7 @@ SELECT read_id, a, b, CASE WHEN stop - start >= 8 THEN start END AS start, CASE
   CASE WHEN s IS NULL THEN 0 ELSE {EDGE.format('l')} END AS el, CASE WHEN s IS NULL THEN 0 ELSE {EDGE.format('r')} END AS er FROM fi""")
 def iv12(spark, sf_dir):
     seen, spaces = footprints_of(spark, sf_dir)
-    return recall.refine(spaces, seen, ["read_id"], least=8)
+    return recall.refine(spaces, seen, ["read_id"], least=8, parts=recall.parts_for(seen))
 
 
 @query("q_iv13_phase_windows", f"""WITH {INTERVALS}, f AS (SELECT read_id, start AS a, stop AS b, CAST(round_even((stop - start) / 12.0::DOUBLE, 0) AS INT) AS n FROM iv WHERE stop - start >= 18),
