@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .marks import IN_READ, IN_REFERENCE, MD_PART, read_changes, to_lists
+from .marks import IN_READ, IN_REFERENCE, MD_PART, bytes_of, read_changes, to_lists
 
 
 def aligned_blocks(ops: Column) -> Column:
@@ -98,6 +98,15 @@ def stamp(seq: Column, positions: Column, sign: str) -> Column:
 
     @F.arrow_udf("string")
     def write(seq: pa.Array, positions: pa.Array) -> pa.Array:
+        data, length = bytes_of(seq)
+        at = positions.flatten()
+        if not at.null_count and (data < 128).all():  # all at once
+            edge, row = np.concatenate(([0], np.cumsum(length))), np.repeat(np.arange(len(seq)), np.asarray(pc.fill_null(pc.list_value_length(positions), 0), np.int64))
+            at, data = np.asarray(at, np.int64), data.copy()
+            inside = (at >= 0) & (at < length[row])
+            data[edge[row[inside]] + at[inside]] = ord(sign)
+            made = pa.StringArray.from_buffers(len(seq), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data))
+            return pc.if_else(pc.is_valid(seq), made, pa.scalar(None, pa.string()))
         out = []
         for text, at in zip(seq.to_pylist(), positions):
             if text is None or not at.is_valid:

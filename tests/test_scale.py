@@ -7,3 +7,17 @@ def test_points_meet_spaces_without_a_row_for_each_base(spark):
     points = spark.createDataFrame([(1, 4, "a"), (1, 5, "b"), (1, 10**12 - 1, "c"), (1, 10**12, "d"), (1, 10**12 + 8, "e"), (2, 2, None), (2, 3, "f"), (3, 4, "g"), (4, 0, "h")], "k long, pos long, v string")
     got = sorted(tuple(r) for r in intervals.holding(points, spaces, ["k"]).collect())
     assert got == [(1, 5, "b", 5, 10**12), (1, 10**12 - 1, "c", 5, 10**12), (1, 10**12 + 8, "e", 10**12 + 5, 10**12 + 9), (2, 2, None, 0, 3)]
+
+
+def test_tasks_of_a_scan_grow_with_its_rows(spark):
+    from pyspark.sql import functions as F
+
+    from molspan.operators import recall
+
+    seen = spark.range(96).select(F.lit(1).alias("read_id"), F.col("id").alias("pos"), F.lit(0.5).alias("step"), (F.col("id") % 3 == 0).cast("int").alias("hit"), F.lit(1).alias("opp"))
+    spaces = spark.createDataFrame([(1, 0, 40), (1, 30, 96)], "read_id int, a long, b long")
+    assert [recall.parts_for(seen, n) for n in (10, 96, 97)] == [10, 1, 1]
+    found = recall.scan_within(seen, spaces, ["read_id"], parts=7, min_llr=1.0)
+    assert found._jdf.queryExecution().toString().count("RepartitionByExpression") + found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 3
+    plain = recall.scan_within(seen, spaces, ["read_id"], min_llr=1.0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
