@@ -18,10 +18,14 @@ from .reads import hash_order
 
 
 def funnel(reads: DataFrame, *, min_mapq: int = 20, min_length: int = 1000) -> DataFrame:
-    """reads plus ``reason``: why a control's read isn't counted, ``processed`` if it is; the first that holds."""
+    """reads plus ``reason``: why a control's read isn't counted, ``processed`` if it is; the first that holds.
+
+    Rows without seq have read_length; of mm and ml only counts whether they are null.
+    """
     flag = F.coalesce(F.col("flag"), F.lit(0))
     reason = F.when(flag.bitwiseAND(4) != 0, "unmapped").when(flag.bitwiseAND(0x100) != 0, "secondary").when(flag.bitwiseAND(0x800) != 0, "supplementary").when(F.col("mapq") < min_mapq, "low_mapq")
-    reason = reason.when(F.col("seq").isNull() | (F.col("seq") == ""), "no_sequence").when(F.length("seq") < min_length, "short")
+    length = F.coalesce(F.length("seq") if "seq" in reads.columns else F.col("read_length"), F.lit(0))
+    reason = reason.when(length == 0, "no_sequence").when(length < min_length, "short")
     return reads.withColumn("reason", reason.when(F.col("mm").isNull(), "no_mm").when(F.col("ml").isNull(), "no_ml").otherwise("processed"))
 
 

@@ -21,3 +21,28 @@ def test_tasks_of_a_scan_grow_with_its_rows(spark):
     assert found._jdf.queryExecution().toString().count("RepartitionByExpression") + found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 3
     plain = recall.scan_within(seen, spaces, ["read_id"], min_llr=1.0)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
+
+
+def test_the_funnel_lays_out_no_base(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from molspan.operators import controls
+    from molspan.plans import molecules
+
+    # order 8 has a null and lines that add no base, 9 none but such; 10 has no lines, 11 no order
+    lines = [(r, k * 3 + r, k, float((r * 17 + k * 23) % 51)) for r in range(1, 8) for k in range(1, 2 + r)] + [(8, 1, 1, None), (8, 2, 2, 40.0), (8, 5, 2, 120.0), (9, 2, 1, 50.0), (11, 0, 1, 7.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(r, r + 1, "F" if r % 2 else "O") for r in range(1, 11)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    whole = molecules.molecules(spark, str(tmp_path))
+    length = {r.read_id: len(r.seq) for r in whole.collect()}
+    assert length == {r.read_id: r.read_length for r in molecules.lengths(spark, str(tmp_path)).collect()} and (length[8], length[9]) == (120, 0) and len(length) == 9
+    # reasons by length are those by sequence
+    more = {"flag": F.lit(0), "mapq": F.lit(60)}
+    rows = controls.funnel(whole.withColumns(more), min_length=100)
+    light = rows.withColumn("read_length", F.length("seq")).drop("seq", "reason")
+    assert sorted(map(tuple, controls.funnel(light, min_length=100).select("read_id", "reason").collect())) == sorted(map(tuple, rows.select("read_id", "reason").collect()))
+    assert {r.reason for r in rows.collect()} == {"no_sequence", "short", "processed"}
+    found = molecules.flt18(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "collect_list" not in plan
+    assert sum(r.n for r in found.collect()) == 9
